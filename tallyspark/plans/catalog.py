@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cards, reports  # noqa: F401
+from . import cadence, cards, reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
