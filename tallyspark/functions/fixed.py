@@ -189,3 +189,53 @@ STARTER_CATEGORIES = [
     ("Transfer", "#94a3b8"), ("Investment", "#0d9488"), ("Refund", "#22c55e"),
     ("Income (salary)", "#16a34a"), ("Income (other)", "#16a34a"),
 ]
+
+# Statement signatures. A family fits when every pattern of one of its
+# alternatives occurs and the `unless` pattern does not.
+_OPERATOR_LABELS = [
+    r"\bDays\s+in\s+Billing\s+Cycle\b", r"\+\s+FEE\s+CHARGED", r"\+\s+INTEREST\s+CHARGED",
+    r"=\s+New\s+Balance\b", r"\+\s+Purchases\s+&\s+Other\s+Charges", r"-\s+Payments\s+&\s+Credits",
+]
+_ROBINHOOD_FIELDS = r"Account\s+Number:\s+X{4}|85\s+Willow\s+Road|Menlo\s+Park,\s+CA\s+94025"
+_HYPHEN_ACCOUNT = r"Account\s*#?\s*XXXX[-\s]XXXX[-\s]XXXX[-\s]\d{4}"
+SIGNATURES = {
+    "amex": {
+        "any": [
+            [r"\b(?:Blue\s+Cash\s+(?:Everyday|Preferred)|Amex\s+(?:Gold|Platinum|Green|Business)|American\s+Express\s+Card)\b"],
+            [r"\b(?:American\s+Express|americanexpress\.com)\b", r"Account\s+Ending\s+\d[-\s]?\d{3,6}"],
+        ],
+    },
+    "bofa-credit-card": {
+        "any": [
+            [r"bankofamerica\.com"],
+            [r"\bVisa\s+(?:Signature|Platinum)\b", _HYPHEN_ACCOUNT],
+            [r"\bNew\s+Balance\s+Total\b", _HYPHEN_ACCOUNT],
+        ],
+    },
+    "chase-checking": {
+        "any": [[
+            r"JPMorgan\s+Chase\s+Bank",
+            r"\b(?:CHECKING\s+SUMMARY|\*start\*transactiondetail|Chase\s+(?:College|Total|Premier|Secure|High\s+School)\s+Checking)\b",
+        ]],
+        "unless": r"Chase\s+Card\s+Services",
+    },
+    "chase-credit-card": {
+        "any": [
+            [r"Chase\s+Card\s+Services"],
+            [r"chase\.com/(?:cardhelp|amazon|paycard)"],
+            [r"\bChase\b", r"ACCOUNT\s+SUMMARY[\s\S]+Credit\s+(?:Limit|Access\s+Line)"],
+        ],
+    },
+    "discover-credit-card": {
+        "any": [[r"\bDISCOVER\s+IT\b"], [r"\bDiscover\.com\b"], [r"\bCashback\s+Bonus\b"]],
+    },
+    "robinhood-credit-card": {
+        "any": [[r"\bRobinhood\b", _ROBINHOOD_FIELDS]]
+        + [[r"\bRobinhood\s+(?:Credit|Card)\b", label] for label in _OPERATOR_LABELS]
+        + [
+            [first, second]
+            for i, first in enumerate(_OPERATOR_LABELS)
+            for second in _OPERATOR_LABELS[i + 1:]
+        ],
+    },
+}
