@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cadence, cards, quality, reports  # noqa: F401
+from . import cadence, cards, quality, reports, views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -391,6 +391,25 @@ def statements(rows: DataFrame) -> DataFrame:
     )
 
 
+def nested_imports(rows: DataFrame) -> DataFrame:
+    """Rows nested as landed imports; every row number forms a part of its own.
+
+    Parts keep arrays bounded by construction: real statements land with their rows in one
+    array, derived ones never gather a statement into one group.
+    """
+    text = lambda c: F.col(c).cast("string")
+    return rows.select(
+        "ledger_id", "source_hash", "bank_name",
+        F.lit("derived").alias("adapter_name"), F.lit("1").alias("adapter_version"),
+        F.col("txn_index").alias("first_index"),
+        F.struct("account_type", "account_last_4").alias("statement"),
+        F.array(F.struct(
+            text("posted_date").alias("posted_date"), "description", "raw_text",
+            text("amount_minor").alias("amount_minor"), "currency", "transaction_type", "status",
+        )).alias("transactions"),
+    )
+
+
 def noun_category(text: Column) -> Column:
     out = F.lit("c-other")
     for noun in reversed(NOUNS):
