@@ -464,6 +464,16 @@ def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ledger's own copy of the category list."""
+    return ledger(spark, sf_dir).select("ledger_id").distinct().select(
+        "ledger_id",
+        F.inline(F.array(*[
+            F.struct(F.lit(c).alias("category_id"), F.lit(n).alias("name")) for c, n, _ in CATEGORIES
+        ])),
+    )
+
+
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One savings goal per customer; balances give some bad and some exceeded ones."""
     cust = F.col("c_custkey")
