@@ -66,6 +66,12 @@ def _passes(config: RedactConfig) -> list[tuple[str, str, object]]:
     return out
 
 
+def _tagged(hits: str, number: int, category: str) -> Column:
+    return F.transform(hits, lambda hit: F.struct(
+        F.lit(number).alias("pass_no"), F.lit(category).alias("category"), hit.alias("original")
+    ))
+
+
 def redact(documents: DataFrame, config: RedactConfig = RedactConfig(), text: str = "text") -> DataFrame:
     """Adds redacted text and `found`: array of (pass_no, category, original) per pass.
 
@@ -78,8 +84,7 @@ def redact(documents: DataFrame, config: RedactConfig = RedactConfig(), text: st
         df = df.withColumn(hits, F.regexp_extract_all("redacted", F.lit(pattern), F.lit(0)))
         after = replacement(F.col("redacted")) if callable(replacement) else F.regexp_replace("redacted", pattern, replacement)
         df = df.withColumn("redacted", after)
-        found.append(F.transform(hits, lambda hit, n=number, c=category: F.struct(
-            F.lit(n).alias("pass_no"), F.lit(c).alias("category"), hit.alias("original"))))
+        found.append(_tagged(hits, number, category))
     empty = F.array().cast("array<struct<pass_no:int,category:string,original:string>>")
     df = df.withColumn("found", F.concat(*found) if found else empty)
     return df.drop(*[f"hits_{n}" for n in range(len(found))])

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cadence, cards, labels, quality, reports, views  # noqa: F401
+from . import cadence, cards, jobs, labels, quality, reports, views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

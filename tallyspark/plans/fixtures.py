@@ -9,6 +9,7 @@ however large, has to be numbered in one task.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -303,25 +304,36 @@ def everyday(spark: SparkSession, sf_dir: str) -> DataFrame:
     }))
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/stage-{spark.sparkContext.applicationId}"
+
+
+def staged_files(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Folder of derived files, written once per application to the shared folder."""
+    folder = f"{_stage_root(spark)}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}/{name}"
+    if folder not in _WRITTEN:
+        write(folder)
+        _WRITTEN.add(folder)
+    return folder
+
+
+_WRITTEN: set[str] = set()
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived table, written once per application to the shared folder and read back.
+    """A derived table, read back from its staged files.
 
     Queries then start from Parquet, so filters and column pruning reach the scan, and no
     query repeats the derivation.
     """
-    folder = "/".join([
-        checkpoint_dir(spark).rstrip("/"),
-        f"stage-{spark.sparkContext.applicationId}",
-        hashlib.sha256(sf_dir.encode()).hexdigest()[:16],
-        name,
-    ])
-    if (folder, name) not in _WRITTEN:
-        build().write.mode("overwrite").parquet(folder)
-        _WRITTEN.add((folder, name))
-    return spark.read.parquet(folder)
-
-
-_WRITTEN: set[tuple[str, str]] = set()
+    return spark.read.parquet(
+        staged_files(spark, sf_dir, name, lambda path: build().write.mode("overwrite").parquet(path))
+    )
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the files of one streaming run."""
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
