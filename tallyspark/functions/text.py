@@ -24,20 +24,30 @@ def trim_ws(text: Column) -> Column:
 
 
 def clean_description(raw: Column) -> Column:
-    """Drop ACH ids, reference tags, a leading MM/DD and one trailing reference."""
-    text = F.coalesce(raw, F.lit(""))
+    """Drop ACH ids, reference tags, a leading MM/DD and one trailing reference.
+
+    The four tag patterns all hold a colon, so texts without one skip them. White space is
+    collapsed before the patterns at the ends of the text, which then only meet blanks.
+    """
+    raw = F.coalesce(raw, F.lit(""))
+    untagged = raw
     for pattern in (
         rf"(?i){_WS}*Web ID:{_WS}*\d+{_EDGE_R}",
         rf"(?i){_WS}*PPD ID:{_WS}*\d+{_EDGE_R}",
         rf"(?i){_WS}*Transaction#:{_WS}*\S*",
         rf"(?i){_WS}*Reference#:{_WS}*\S*",
-        rf"^{_WS}*\d{{2}}/\d{{2}}{_WS}+",
+    ):
+        untagged = F.regexp_replace(untagged, pattern, "")
+    text = F.when(F.contains(raw, F.lit(":")), untagged).otherwise(raw)
+    text = F.regexp_replace(text, rf"{_WS}+", " ")
+    for pattern in (
+        r"^ ?\d{2}/\d{2} ",
         # one trailing token of nine or more characters with three or more digits
-        rf"{_WS}+(?=\S{{9,}}{_WS}*\z)(?=(?:\D*\d){{3,}})\S+{_WS}*\z",
-        rf"{_WS}+\d{{6,}}{_WS}*\z",
+        r" (?=[^ ]{9,} ?\z)(?:[^ \d]*\d){3}[^ ]* ?\z",
+        r" \d{6,} ?\z",
     ):
         text = F.regexp_replace(text, pattern, "")
-    return F.trim(F.regexp_replace(text, rf"{_WS}+", " "))
+    return F.trim(text)
 
 
 def descriptor_key(raw: Column) -> Column:
@@ -132,6 +142,11 @@ def description_hash(text: Column) -> Column:
     return F.sha2(F.trim(text), 256)
 
 
+def padded_words(text: Column) -> Column:
+    """Lower-case text with everything but ASCII letters and digits as blanks, padded."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9]", " "), F.lit(" "))
+
+
 def contains_word(text: Column, word: str) -> Column:
     """Whole-word test that treats everything but ASCII letters and digits as an edge."""
     return F.lower(text).rlike(f"(?:^|[^a-z0-9])\\Q{word.lower()}\\E(?:\\z|[^a-z0-9])")

@@ -55,10 +55,14 @@ def months(rows: DataFrame) -> DataFrame:
 
 
 def latest_two_months(month_table: DataFrame) -> DataFrame:
-    """Latest and second latest month of every ledger that has two."""
-    latest = month_table.groupBy("ledger_id").agg(F.max("month").alias("current_month"))
-    earlier = month_table.join(latest, "ledger_id").filter(F.col("month") < F.col("current_month"))
-    return earlier.groupBy("ledger_id", "current_month").agg(F.max("month").alias("previous_month"))
+    """Latest and second latest month of every ledger that has two.
+
+    A ledger's set of months is bounded by the calendar.
+    """
+    listed = month_table.groupBy("ledger_id").agg(F.sort_array(F.collect_set("month"), asc=False).alias("m"))
+    return listed.filter(F.size("m") >= 2).select(
+        "ledger_id", F.element_at("m", 1).alias("current_month"), F.element_at("m", 2).alias("previous_month")
+    )
 
 
 def net_by_category(rows: DataFrame, *keys: str) -> DataFrame:

@@ -255,8 +255,7 @@ def _spent_by_month(spark, sf_dir):
 
 
 def _deltas(spark, sf_dir):
-    spent = _spent_by_month(spark, sf_dir)
-    return budgets.compare_months(spent, cashflow.latest_two_months(spent.select("ledger_id", "month").distinct()))
+    return budgets.compare_months(_spent_by_month(spark, sf_dir))
 
 
 @query("agg_budget", over("sp", "SELECT * FROM bud", **{k: _BUD[k] for k in ("lim", "last", "net", "bud")}))
@@ -284,7 +283,7 @@ def agg_mom(spark, sf_dir):
 @query("jn_mom_full", over("rt", "SELECT * FROM dl", **_MOM))
 def jn_mom_full(spark, sf_dir):
     spent = _spent_by_month(spark, sf_dir)
-    two = cashflow.latest_two_months(spent.select("ledger_id", "month").distinct())
+    two = cashflow.latest_two_months(spent)
     side = lambda m: spent.join(two, "ledger_id").filter(F.col("month") == F.col(m))
     return budgets.join_months(side("current_month"), side("previous_month"))
 

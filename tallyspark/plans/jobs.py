@@ -220,7 +220,7 @@ _CONFIG = redact.RedactConfig(names=_NAMES, addresses=["le de"], emails=["info@e
 
 
 def _redacted(spark, sf_dir):
-    return redact.redact(fx.table(spark, sf_dir, "documents"), _CONFIG)
+    return redact.redact(fx.documents(spark, sf_dir), _CONFIG)
 
 
 # Word edges that consume a character need a second run for neighbours that share it.
@@ -278,7 +278,7 @@ _WORDS = (
 
 
 def text_items(spark, sf_dir):
-    words = fx.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "text"))
+    words = fx.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "text"))
     pos = F.col("pos")
     return words.select(
         "doc_id", F.expr("pos div 480").alias("page"),
