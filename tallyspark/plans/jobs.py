@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark import schemas
-from tallyspark.functions import redact
+from tallyspark.functions import fixed, redact
 from tallyspark.operators import flow, layout, merge, quality, transfers
 from tallyspark.sources import backup, csv, state
 from tallyspark.streaming import jobs
 
-from . import cadence, reports
+from . import cadence, cards, reports
 from . import fixtures as fx
 from .registry import query
-from .sqlbase import over
+from .sqlbase import ctes, over
 
 _KEY = "ledger_id, source_hash, txn_index"
 _KEYS = schemas.ROW_KEY
@@ -177,21 +177,61 @@ def _stored_contract():
 # ---- transfers -------------------------------------------------------------------------
 
 
+# The greedy choice as SQL: each step serves the next outflow of every (ledger, amount).
+_ACCOUNT = "bank_name || ':' || account_type || ':' || account_last_4"
+_GREEDY = {
+    "legs": f"SELECT ledger_id, abs(amount_minor) AS mag, amount_minor < 0 AS is_out, posted_date AS d, {_ACCOUNT} AS acc, source_hash || '#' || txn_index AS k,"
+    " source_hash AS h, txn_index AS i, regexp_matches(description, '(?i)" + fixed.TRANSFER_HINT + "') AS hint FROM t WHERE amount_minor <> 0",
+    "outs": "SELECT *, row_number() OVER (PARTITION BY ledger_id, mag ORDER BY d, k) AS rn FROM legs WHERE is_out AND (ledger_id, mag) IN (SELECT (ledger_id, mag) FROM legs WHERE NOT is_out)",
+    "ins": "SELECT * FROM legs WHERE NOT is_out",
+}
+_CHOICE = (
+    "ch AS (SELECT DISTINCT ledger_id, mag, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS ok, CAST(NULL AS VARCHAR) AS ik, CAST([] AS VARCHAR[]) AS used FROM outs UNION ALL"
+    " SELECT ledger_id, mag, n, ok, b AS ik, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END AS used FROM (SELECT ch.ledger_id, ch.mag, ch.n + 1 AS n, o.k AS ok, ch.used,"
+    " min({'g': abs(i.d - o.d), 'k': i.k}).k AS b FROM ch JOIN outs o ON o.ledger_id = ch.ledger_id AND o.mag = ch.mag AND o.rn = ch.n + 1"
+    " LEFT JOIN ins i ON i.ledger_id = ch.ledger_id AND i.mag = ch.mag AND i.acc <> o.acc AND abs(i.d - o.d) <= 5 AND NOT list_contains(ch.used, i.k)"
+    " GROUP BY ch.ledger_id, ch.mag, ch.n, o.k, ch.used))"
+)
+_PAIRS = (
+    "pairs AS (SELECT ch.ledger_id, o.h AS out_hash, o.i AS out_index, i.h AS in_hash, i.i AS in_index, ch.mag AS amount_minor, o.acc AS out_account_id, i.acc AS in_account_id,"
+    " CAST(o.d AS VARCHAR) AS out_date, CAST(i.d AS VARCHAR) AS in_date, CAST(abs(i.d - o.d) AS BIGINT) AS gap_days, CASE WHEN o.hint OR i.hint THEN 'high' ELSE 'medium' END AS confidence"
+    " FROM ch JOIN outs o ON o.ledger_id = ch.ledger_id AND o.k = ch.ok JOIN ins i ON i.ledger_id = ch.ledger_id AND i.k = ch.ik)"
+)
+
+
+def _with_pairs(names: list[str], select: str, **extra: str) -> str:
+    base = ctes(*names, extra=_GREEDY | extra).rstrip()
+    return base.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_CHOICE}, {_PAIRS} " + select
+
+
 def _pairs(spark, sf_dir):
     return transfers.detect_transfers(fx.ledger(spark, sf_dir))
 
 
-@query("jn_transfers")
+@query("jn_transfers", _with_pairs(["t"], "SELECT * FROM pairs"))
 def jn_transfers(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query("jn_transfer_open")
+_IGNORED = "(SELECT (ledger_id, source_hash, txn_index) FROM ann WHERE ignored)"
+
+
+@query(
+    "jn_transfer_open",
+    _with_pairs(["ann"], f"SELECT * FROM pairs WHERE NOT ((ledger_id, out_hash, out_index) IN {_IGNORED} AND (ledger_id, in_hash, in_index) IN {_IGNORED})"),
+)
 def jn_transfer_open(spark, sf_dir):
     return transfers.open_pairs(_pairs(spark, sf_dir), fx.edits(spark, sf_dir))
 
 
-@query("jn_transfer_exclude")
+_LEGS = "(SELECT ledger_id, out_hash AS source_hash, out_index AS txn_index FROM pairs UNION ALL SELECT ledger_id, in_hash, in_index FROM pairs)"
+
+
+@query(
+    "jn_transfer_exclude",
+    _with_pairs(["ann"], f"SELECT {_KEY}, category_id, coalesce(source, 'manual') AS source, true AS ignored FROM ann FULL JOIN (SELECT *, true AS leg FROM {_LEGS}) l"
+                f" USING ({_KEY}) WHERE ignored OR leg"),
+)
 def jn_transfer_exclude(spark, sf_dir):
     """Annotations after every pair is confirmed: both legs ignored."""
     patches = merge.transfer_exclusions(_pairs(spark, sf_dir))
@@ -199,12 +239,15 @@ def jn_transfer_exclude(spark, sf_dir):
     return edited.filter("ignored").select(*_KEYS, "category_id", "source", "ignored")
 
 
-@query("flow_infer_detectors")
+@query(
+    "flow_infer_detectors",
+    _with_pairs(["fl"], f"SELECT {_KEY}, coalesce(user_intent, CASE WHEN ({_KEY}) IN (SELECT (ledger_id, bank_source_hash, bank_txn_index) FROM lnk) THEN 'cc_payment'"
+                f" WHEN ({_KEY}) IN (SELECT ({_KEY}) FROM {_LEGS}) THEN 'transfer_self' WHEN ({_KEY}) IN (SELECT ({_KEY}) FROM pc WHERE confidence IS NOT NULL) THEN 'salary' ELSE intent END)"
+                " AS flow_intent FROM fl", **cards._links("t"), **cadence._PAY),
+)
 def flow_infer_detectors(spark, sf_dir):
     """Flow intents sharpened by links, transfer pairs and paychecks."""
-    from .cards import _ledger_links
-
-    found = _ledger_links(spark, sf_dir).select(
+    found = cards._ledger_links(spark, sf_dir).select(
         "ledger_id", F.col("bank_source_hash").alias("source_hash"), F.col("bank_txn_index").alias("txn_index")
     )
     return flow.infer_flow(
@@ -235,25 +278,41 @@ def _masked_accounts(text: str) -> str:
     return text
 
 
-_R = "coalesce(text, '')"
-_R = _twice(_R, "(?i)(^|[^A-Za-z0-9])the house([^A-Za-z0-9]|$)", r"\1ACCOUNT HOLDER\2")
-_R = _twice(_R, "(?i)(^|[^A-Za-z0-9])que([^A-Za-z0-9]|$)", r"\1ACCOUNT HOLDER\2")
-_R = f"regexp_replace({_R}, '(?i)le de', 'ADDRESS REDACTED', 'g')"
-_R = f"replace({_R}, '555-0100', 'PHONE REDACTED')"
-_R = f"regexp_replace({_R}, '(?i)info@example\\.com', 'EMAIL REDACTED', 'g')"
-_R = _twice(_R, r"(^|[^0-9A-Za-z_-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?(\d{4})([^0-9A-Za-z_-]|$)", r"\1XXXX-XXXX-XXXX-\2\3")
-_R = _masked_accounts(_R)
-_R = rf"regexp_replace({_R}, '\b\d{{3}}-\d\d-\d{{4}}\b', 'SSN REDACTED', 'g')"
-_R = rf"regexp_replace({_R}, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b', 'EMAIL REDACTED', 'g')"
-_R = _twice(_R, r"(^|[^\d.-])(?:\+?1[\s.-]?)?\(?[2-9]\d{2}\)?[\s.-]?\d{3}[\s.-]?\d{4}([^\d-]|$)", r"\1PHONE REDACTED\2")
+# (category, mark of a replacement, SQL of the pass over x)
+_STAGES = [
+    ("name", "ACCOUNT HOLDER", _twice("x", "(?i)(^|[^A-Za-z0-9])the house([^A-Za-z0-9]|$)", r"\1ACCOUNT HOLDER\2")),
+    ("name", "ACCOUNT HOLDER", _twice("x", "(?i)(^|[^A-Za-z0-9])que([^A-Za-z0-9]|$)", r"\1ACCOUNT HOLDER\2")),
+    ("address", "ADDRESS REDACTED", "regexp_replace(x, '(?i)le de', 'ADDRESS REDACTED', 'g')"),
+    ("phone", "PHONE REDACTED", "replace(x, '555-0100', 'PHONE REDACTED')"),
+    ("email", "EMAIL REDACTED", r"regexp_replace(x, '(?i)info@example\.com', 'EMAIL REDACTED', 'g')"),
+    ("credit_card_number", "XXXX-XXXX-XXXX-", _twice(
+        "x", r"(^|[^0-9A-Za-z_-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?(\d{4})([^0-9A-Za-z_-]|$)", r"\1XXXX-XXXX-XXXX-\2\3")),
+    ("account_number", "XXXXX", _masked_accounts("x")),
+    ("ssn", "SSN REDACTED", r"regexp_replace(x, '\b\d{3}-\d\d-\d{4}\b', 'SSN REDACTED', 'g')"),
+    ("email_auto", "EMAIL REDACTED", r"regexp_replace(x, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', 'EMAIL REDACTED', 'g')"),
+    ("phone_auto", "PHONE REDACTED", _twice(
+        "x", r"(^|[^\d.-])(?:\+?1[\s.-]?)?\(?[2-9]\d{2}\)?[\s.-]?\d{3}[\s.-]?\d{4}([^\d-]|$)", r"\1PHONE REDACTED\2")),
+]
+_PASSES = "WITH s0 AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS x FROM documents)" + "".join(
+    f", s{n + 1} AS MATERIALIZED (SELECT doc_id, {sql} AS x FROM s{n})" for n, (_, _, sql) in enumerate(_STAGES)
+)
+
+
+def _marks(n: int, mark: str) -> str:
+    return f"(SELECT sum((length(x) - length(replace(x, '{mark}', ''))) // {len(mark)}) FROM s{n})"
 
 
-@query("redact_text", f"SELECT doc_id, {_R} AS redacted FROM documents")
+@query("redact_text", f"{_PASSES} SELECT doc_id, x AS redacted FROM s{len(_STAGES)}")
 def redact_text(spark, sf_dir):
     return _redacted(spark, sf_dir).select("doc_id", "redacted")
 
 
-@query("redact_summary")
+@query(
+    "redact_summary",
+    _PASSES + " SELECT category, CAST(sum(n) AS BIGINT) AS redactions FROM (" + " UNION ALL ".join(
+        f"SELECT '{category}' AS category, {_marks(n + 1, mark)} - {_marks(n, mark)} AS n" for n, (category, mark, _) in enumerate(_STAGES)
+    ) + ") GROUP BY category HAVING sum(n) > 0",
+)
 def redact_summary(spark, sf_dir):
     return redact.redaction_summary(_redacted(spark, sf_dir))
 
