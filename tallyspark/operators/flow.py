@@ -84,7 +84,8 @@ def split_rows(overlaid: DataFrame) -> DataFrame:
     return (
         overlaid.filter(~F.col("ignored"))
         .withColumn("whole_minor", F.col("amount_minor"))
-        .withColumn("part", F.explode(expanded))
+        # never empty; the outer form spares a derived non-empty test of the whole expression
+        .withColumn("part", F.explode_outer(expanded))
         .select("*", "part.*")
         .drop("part")
         .withColumn("amount_minor", F.col("part_amount"))

@@ -317,7 +317,30 @@ def redact_summary(spark, sf_dir):
     return redact.redaction_summary(_redacted(spark, sf_dir))
 
 
-@query("redact_report")
+def _extracted(n: int) -> str:
+    """Originals of one pass; doubled separators let neighbours share none."""
+    category, _, _ = _STAGES[n]
+    x, pattern, group = "x", "", 0
+    doubled = "regexp_replace(x, '([^A-Za-z0-9])', '\\1\\1', 'g')"
+    if n == 0:
+        x, pattern, group = doubled, "(?i)(?:^|[^A-Za-z0-9])(the  house)(?:[^A-Za-z0-9]|$)", 1
+    elif n == 1:
+        x, pattern, group = doubled, "(?i)(?:^|[^A-Za-z0-9])(que)(?:[^A-Za-z0-9]|$)", 1
+    else:
+        pattern, group = {
+            2: ("(?i)le de", 0), 3: ("555-0100", 0), 4: (r"(?i)info@example\.com", 0),
+            5: (r"\b(\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4})(?:[^0-9A-Za-z_-]|$)", 1),
+            6: (r"(?i)(?:^|[^0-9A-Za-z_])((?:Account|Acct\.?|A/C)\s*(?:Number|No\.?|#)?\s*[#:]?\s*\d{9,12})\b", 1),
+            7: (r"\b\d{3}-\d\d-\d{4}\b", 0),
+            8: (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0),
+            9: (r"(?:^|[^\d.-])((?:\+?1[\s.-]?)?\(?[2-9]\d{2}\)?[\s.-]?\d{3}[\s.-]?\d{4})(?:[^\d-]|$)", 1),
+        }[n]
+    return (
+        f"SELECT doc_id, CAST({n} AS BIGINT) AS pass_no, '{category}' AS category, replace(unnest(regexp_extract_all({x}, '{pattern}', {group})), '  ', ' ') AS original FROM s{n}"
+    )
+
+
+@query("redact_report", _PASSES + " " + " UNION ALL ".join(_extracted(n) for n in range(len(_STAGES))))
 def redact_report(spark, sf_dir):
     return redact.redactions(_redacted(spark, sf_dir), "doc_id")
 
@@ -337,7 +360,9 @@ _WORDS = (
 
 
 def text_items(spark, sf_dir):
-    words = fx.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "text"))
+    words = fx.documents(spark, sf_dir).select(
+        "doc_id", F.posexplode_outer(F.split("text", r"\s+")).alias("pos", "text")
+    ).filter(F.col("text").isNotNull())
     pos = F.col("pos")
     return words.select(
         "doc_id", F.expr("pos div 480").alias("page"),
