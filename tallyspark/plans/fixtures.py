@@ -344,8 +344,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table."""
-    return staged(spark, sf_dir, "ledger", lambda: all_rows(spark, sf_dir))
+    """The fact table, clustered by the full row key.
+
+    Ranges over the whole key are even however many rows one ledger holds, and the
+    min/max values of the files prune scans of one ledger or statement.
+    """
+    return staged(
+        spark, sf_dir, "ledger",
+        lambda: all_rows(spark, sf_dir).repartitionByRange("ledger_id", "source_hash", "txn_index"),
+    )
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
