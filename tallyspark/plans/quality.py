@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.functions import fixed
-from tallyspark.operators import ingest, links, merge, quality
+from tallyspark.operators import ingest, merge, quality
 
 from . import cards, cadence
 from . import fixtures as fx

@@ -10,7 +10,7 @@ from tallyspark.operators import flow
 
 from . import fixtures as fx
 from .registry import query
-from .sqlbase import CENTS, clean, flow_pattern, in_list, over
+from .sqlbase import clean, flow_pattern, in_list, over
 
 TODAY = "2001-06-15"
 EVENT_DAY = "2024-01-10"
