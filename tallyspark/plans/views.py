@@ -369,3 +369,15 @@ def fn_month(spark, sf_dir):
         *_KEYS, month.alias("month"), dates.days_in_month(month).alias("days_in_month"),
         dates.add_months_key(month, F.lit(-14)).alias("shifted"),
     )
+
+
+@query("fn_days_in_month", over("t", f"SELECT {_KEY}, CAST(day(last_day(posted_date)) AS BIGINT) AS days_in_month FROM t"))
+def fn_days_in_month(spark, sf_dir):
+    month = dates.month_key(F.col("posted_date"))
+    return _rows(spark, sf_dir).select(*_KEYS, dates.days_in_month(month).alias("days_in_month"))
+
+
+@query("fn_add_months", over("t", f"SELECT {_KEY}, strftime(date_trunc('month', posted_date) + INTERVAL 5 MONTH, '%Y-%m') AS shifted FROM t"))
+def fn_add_months(spark, sf_dir):
+    month = dates.month_key(F.col("posted_date"))
+    return _rows(spark, sf_dir).select(*_KEYS, dates.add_months_key(month, F.lit(5)).alias("shifted"))
