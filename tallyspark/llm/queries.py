@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import jaccard
+from tallyspark.llm import chunks, jaccard, simple8b
 from tallyspark.llm.store import table
 
 
@@ -12,8 +13,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), percent=85, size=4)
 
 
+def tokenizer() -> str:
+    """The tokenizer file of the registered queries."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.token_index(simple8b.write_tokens(table(spark, sf_dir, "documents"), tokenizer(), end_id=0))
+
+
+def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_simple8b_tokens": op2_simple8b_tokens,
+    "op5_chunk_bpe": op5_chunk_bpe,
 }
 
 ORACLES: dict[str, str] = {}
