@@ -25,8 +25,8 @@ from tallyspark.llm.graph import components
 from tallyspark.llm.store import saved, small_batches
 
 BANDS, ROWS = 24, 3
-#: Members of one stored group; larger groups are split by hash into several.
-GROUP_SIZE = 64
+#: Tokens of one stored group; families of similar sets that have more are split by hash into several.
+GROUP_TOKENS = 1 << 17
 _rng = np.random.default_rng(77)
 _MULT = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -87,33 +87,59 @@ def _tokens(size: int):
 
 
 def _open_groups(percent: int):
-    """Bound each query against its group's token union, open the group if it passes, give one link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links between two stored groups: bound every query by the other's token union, open if it passes.
 
-    def values(column, i):
-        return column[i].values.to_numpy(zero_copy_only=False)
+    Only sets of components not joined yet are compared, and a link joins its components at once,
+    so a group of near copies costs little more than one comparison a member.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            query, union = batch.column("tokens"), batch.column("union_tokens")
-            ends, members, comps, other = (batch.column(c) for c in ("ends", "members", "comp", "other"))
+            side = [[batch.column(c + n) for c in ("comps", "sizes", "tokens")] for n in "12"]
             a, b = [], []
             for i in range(batch.num_rows):
-                q, t = values(query, i), np.sort(values(union, i))
-                if 100 * np.isin(q, t, assume_unique=True).sum() < percent * len(q):
-                    continue
-                flat, stop = values(members, i), values(ends, i)
-                hits = np.concatenate([[0], np.cumsum(np.isin(flat, q))])
-                start = np.concatenate([[0], stop[:-1]])
-                both = hits[stop] - hits[start]
-                if (100 * both >= percent * (len(q) + (stop - start) - both)).any():
-                    a.append(comps[i].as_py())
-                    b.append(other[i].as_py())
+                (c1, n1, t1), (c2, n2, t2) = ([c[i].values.to_numpy(zero_copy_only=False) for c in part] for part in side)
+                for x, y in linked(c1, n1, t1, c2, n2, t2, percent):
+                    a.append(x)
+                    b.append(y)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
 
+def linked(c1, n1, t1, c2, n2, t2, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that a link between the groups joins; each group: components, sizes, tokens of its sets."""
+    root = {int(c): int(c) for c in (*c1, *c2)}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    union = np.unique(t2)
+    member = np.repeat(np.arange(len(n2)), n2)
+    out, stop = [], 0
+    for c, n in zip(c1.tolist(), n1.tolist()):
+        query, stop = t1[stop:stop + n], stop + n
+        inside = query[union[np.minimum(np.searchsorted(union, query), len(union) - 1)] == query]
+        if 100 * len(inside) < percent * n:
+            continue
+        other = np.array([find(int(x)) for x in c2])
+        open_to = (other != find(c)) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2))
+        if not open_to.any():
+            continue
+        rows = np.flatnonzero(open_to[member])
+        both = np.bincount(member[rows[np.isin(t2[rows], inside)]], minlength=len(n2))
+        for j in np.flatnonzero(open_to & (100 * both >= percent * (n + n2 - both))).tolist():
+            x, y = find(c), find(int(c2[j]))
+            if x != y:
+                root[y] = x
+                out.append((c, int(c2[j])))
+    return out
+
+
 def jaccard_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """Group the documents whose sets of `size`-word shingles link at `percent` / 100 or more.
 
@@ -151,34 +177,26 @@ def jaccard_components(docs: DataFrame, percent: int = 85, size: int = 4) -> Dat
         nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("comp"))
     )
 
-    # what bands still hold apart: each such set is a query against the stored groups it meets
-    apart = meet.select("key", "sig").join(place, "sig")
+    # what bands still hold apart is put in groups of similar sets: by the lowest set any band shows
+    apart = meet.join(place, "sig")
     split = apart.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    count = place.groupBy("comp").agg(F.count("*").alias("members"))
-    apart = saved(
-        apart.join(split, "key").join(count, "comp")
-        .withColumn("part", F.pmod(F.xxhash64("sig", F.lit(3)), F.ceil(F.col("members") / GROUP_SIZE)).cast("int"))
-    )
-    held = apart.select("comp", "part", "sig").distinct().join(sets, "sig")
-    groups = held.groupBy("comp", "part").agg(
-        F.collect_list("tokens").alias("all"), F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most")
-    ).select(
-        F.col("comp").alias("other"), F.col("part").alias("other_part"), "least", "most",
-        F.array_distinct(F.flatten("all")).alias("union_tokens"), F.flatten("all").alias("members"),
-        F.expr("transform(sequence(1, size(all)), i -> aggregate(slice(all, 1, i), 0L, (s, x) -> s + size(x)))").alias("ends"),
-    )
-    stands = apart.select("key", F.col("comp").alias("other"), F.col("part").alias("other_part"),
-                          F.col("members").alias("other_members")).distinct()
-    asks = (
-        apart.join(stands, "key").where("struct(members, comp) < struct(other_members, other)")
-        .select("sig", "comp", "other", "other_part").distinct()
+    apart = saved(apart.join(split, "key"))
+    similar = apart.groupBy("sig").agg(F.min("low").alias("family"), F.first("comp").alias("comp")).join(sets, "sig")
+    parts = similar.groupBy("family").agg(F.ceil(F.sum(F.size("tokens")) / GROUP_TOKENS).alias("parts"))
+    stored = saved(
+        similar.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(3)), "parts"))
+        .select("sig", F.xxhash64("family", "part").alias("group"), "comp", "tokens")
     )
-    opened = (
-        asks.join(sets, "sig").join(groups, ["other", "other_part"])
-        .where(f"100 * least(size(tokens), most) >= {percent} * greatest(size(tokens), least)")
-        .select("tokens", "union_tokens", "members", "ends", "comp", "other")
-        .mapInArrow(_open_groups(percent), "a long, b long")
+    groups = saved(
+        stored.groupBy("group").agg(F.collect_list(F.struct("comp", "tokens")).alias("m")).select(
+            "group", F.col("m.comp").alias("comps"), F.expr("transform(m, x -> size(x.tokens))").alias("sizes"),
+            F.flatten("m.tokens").alias("tokens"))
     )
+    at = apart.select("key", "sig").join(stored.select("sig", "group"), "sig").select("key", "group").distinct()
+    asks = at.join(at.withColumnRenamed("group", "other"), "key").where("group <= other").select("group", "other").distinct()
+    first, second = (groups.select(F.col("group").alias(g), *[F.col(c).alias(c + n) for c in ("comps", "sizes", "tokens")])
+                     for g, n in (("group", "1"), ("other", "2")))
+    opened = asks.join(first, "group").join(second, "other").drop("group", "other").mapInArrow(_open_groups(percent), "a long, b long")
     more = components(opened)
     final = (
         place.join(more, place["comp"] == more["node"], "left").select("sig", F.coalesce("root", "comp").alias("comp"))
