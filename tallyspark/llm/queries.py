@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chunks, jaccard, simple8b
+from tallyspark.llm import chunks, jaccard, lines, simple8b
 from tallyspark.llm.store import table
 
 
@@ -26,10 +26,15 @@ def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), percent=80).select("doc_id", "n_lines", "n_kept", "text")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_simple8b_tokens": op2_simple8b_tokens,
     "op5_chunk_bpe": op5_chunk_bpe,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 ORACLES: dict[str, str] = {}
