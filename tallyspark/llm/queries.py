@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chunks, jaccard, lines, simple8b
+from tallyspark.llm import avi, chunks, jaccard, lines, simple8b
 from tallyspark.llm.store import table
 
 
@@ -30,10 +30,15 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), percent=80).select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.avi_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_simple8b_tokens": op2_simple8b_tokens,
     "op5_chunk_bpe": op5_chunk_bpe,
+    "op9_avi_media": op9_avi_media,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
