@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,16 @@ def sure(chunk: str) -> tuple[int, int]:
     return first, i
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as 16-bit integers if all fit, else 32-bit; the first byte says which."""
+    wide = len(ids) > 0 and int(ids.max()) >= 1 << 16
+    return bytes([4 if wide else 2]) + ids.astype("<u4" if wide else "<u2").tobytes()
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk: its key, document and number in the document."""
     for batch in batches:
@@ -109,12 +120,13 @@ def _pieces(packed: pa.Array) -> Iterator[tuple[str, list[int]]]:
 
 
 def _encode_owned(tokenizer: str):
-    """Bodies of the chunks that a document owns, encoded: key, ids as 32-bit integers."""
+    """Bodies of the chunks that documents own, encoded: key, ids; documents that own none are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
         for batch in batches:
             keys, bodies = [], []
+            batch = batch.filter(pc.is_valid(batch.column("owned")))
             for (text, ends), owned in zip(_pieces(batch.column("packed")), batch.column("owned").to_pylist()):
                 starts = [0, *ends]
                 for x in owned:
@@ -124,7 +136,7 @@ def _encode_owned(tokenizer: str):
                     bodies.append(chunk[lo:hi])
             ids, n = codec.encode(bodies)
             stop = np.cumsum(n)
-            data = [ids[a:b].astype("<u4").tobytes() for a, b in zip((stop - n).tolist(), stop.tolist())]
+            data = [pack_ids(ids[a:b]) for a, b in zip((stop - n).tolist(), stop.tolist())]
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["key", "ids"])
 
     return run
@@ -152,7 +164,7 @@ def _assemble(tokenizer: str, full: bool):
         for batch in batches:
             out, plans, todo = [], [], []
             for (text, ends), shared in zip(_pieces(batch.column("packed")), batch.column("shared").to_pylist()):
-                known = {x["at"]: np.frombuffer(x["ids"], "<u4").astype(np.int32) for x in shared or []}
+                known = {x["at"]: unpack_ids(x["ids"]) for x in shared or []}
                 kinds, parts = encode_document(text, ends, known, codec)
                 plans.append((kinds, parts))
                 todo += [p for kind, p in zip(kinds, parts) if not kind]
@@ -189,14 +201,15 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, full: bool = False) -> DataF
     # a row is named by its doc_id and the hash of its text: one doc_id may have several texts
     named = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("row"), "text")
     row = ["doc", "row"]
-    occurs = saved(named.mapInArrow(_list, "key binary, doc long, row long, at int").distinct())
+    occurs = saved(named.mapInArrow(_list, "key binary, doc long, row long, at int"))
     owners = (
         occurs.groupBy("key").agg(F.min(F.struct(*row, "at")).alias("own"), F.count("*").alias("n")).where("n > 1")
         .select("key", "own.*")
     )
     texts = named.mapInArrow(_press, "doc long, row long, packed binary")
     owned = owners.groupBy(row).agg(F.collect_list(F.struct("key", "at")).alias("owned"))
-    bodies = texts.join(owned, row).select("packed", "owned").mapInArrow(_encode_owned(tokenizer), "key binary, ids binary")
+    # a left join, so that both uses of the texts have the same plan and share one shuffle
+    bodies = texts.join(owned, row, "left").select("packed", "owned").mapInArrow(_encode_owned(tokenizer), "key binary, ids binary")
     shared = occurs.join(bodies.dropDuplicates(["key"]), "key").groupBy(row).agg(F.collect_list(F.struct("at", "ids")).alias("shared"))
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
     return texts.join(shared, row, "left").select(
