@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import avi, chunks, jaccard, lines, simple8b
+from tallyspark.llm import avi, chunks, jaccard, lines, quality, simple8b, toxicity
 from tallyspark.llm.store import table
 
 
@@ -30,6 +30,15 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), percent=80).select("doc_id", "n_lines", "n_kept", "text")
 
 
+def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.avi_digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,8 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_simple8b_tokens": op2_simple8b_tokens,
     "op5_chunk_bpe": op5_chunk_bpe,
+    "op6_crf_quality": op6_crf_quality,
+    "op7_fm_toxicity": op7_fm_toxicity,
     "op9_avi_media": op9_avi_media,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }

@@ -19,6 +19,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _P = 0x9E3779B97F4A7C15
 _STEP, _BACK = np.uint64(_P), np.uint64(pow(_P, -1, 2**64))
+#: Every ASCII byte that is no letter or digit.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Texts are taken together up to so many bytes, which bounds the arrays in use; a longer text goes alone.
 BLOCK_BYTES = 1 << 21
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -64,9 +66,9 @@ def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the number of its first word (n + 1 numbers)."""
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
