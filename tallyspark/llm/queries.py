@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import avi, chunks, jaccard, lines, quality, simple8b, toxicity
+from tallyspark.llm import avi, chunks, decontaminate, jaccard, lines, quality, simple8b, toxicity
 from tallyspark.llm.store import table
 
 
@@ -39,6 +39,10 @@ def op7_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.avi_digest(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_chunk_bpe": op5_chunk_bpe,
     "op6_crf_quality": op6_crf_quality,
     "op7_fm_toxicity": op7_fm_toxicity,
+    "op8_template_decontamination": op8_template_decontamination,
     "op9_avi_media": op9_avi_media,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
