@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import avi, chunks, decontaminate, jaccard, lines, pages, quality, simple8b, toxicity
+from tallyspark.llm import avi, chunks, decontaminate, jaccard, lines, pages, passages, quality, simple8b, toxicity
 from tallyspark.llm.store import table
 
 
@@ -26,6 +26,10 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_simple8b_tokens": op2_simple8b_tokens,
     "op3_site_templates": op3_site_templates,
+    "op4_compact_windows": op4_compact_windows,
     "op5_chunk_bpe": op5_chunk_bpe,
     "op6_crf_quality": op6_crf_quality,
     "op7_fm_toxicity": op7_fm_toxicity,
