@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -34,18 +35,23 @@ def _mask_account(text: Column, keep: int) -> Column:
     return text
 
 
+def _literal(words: str) -> str:
+    """A pattern that matches just these words, whatever marks they hold."""
+    return re.sub(r"([^\w\s])", r"\\\1", words)
+
+
 def _passes(config: RedactConfig) -> list[tuple[str, str, object]]:
     """(category, pattern, replacement or function) in the order they run."""
     longest = lambda words: sorted(words, key=lambda w: -len(w))
     out: list[tuple[str, str, object]] = []
     for name in longest(config.names):
-        out.append(("name", rf"(?i)(?<![A-Za-z0-9])\Q{name}\E(?![A-Za-z0-9])", "ACCOUNT HOLDER"))
+        out.append(("name", rf"(?iu)(?<![A-Za-z0-9]){_literal(name)}(?![A-Za-z0-9])", "ACCOUNT HOLDER"))
     for address in longest(config.addresses):
-        out.append(("address", rf"(?i)\Q{address}\E", "ADDRESS REDACTED"))
+        out.append(("address", rf"(?iu){_literal(address)}", "ADDRESS REDACTED"))
     for phone in config.phones:
-        out.append(("phone", rf"\Q{phone}\E", "PHONE REDACTED"))
+        out.append(("phone", _literal(phone), "PHONE REDACTED"))
     for email in config.emails:
-        out.append(("email", rf"(?i)\Q{email}\E", "EMAIL REDACTED"))
+        out.append(("email", rf"(?iu){_literal(email)}", "EMAIL REDACTED"))
     if config.auto:
         keep = config.keep_last
         if keep >= 4:

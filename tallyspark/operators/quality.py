@@ -39,44 +39,35 @@ def _level(level: str, expected: Column, actual: Column, passed: Column, diff: C
     )
 
 
-def _missing(level: str, detail: str) -> Column:
+def _missing(level: str, fields: str) -> Column:
     none = F.lit(None).cast("bigint")
-    message = F.lit(
-        f"Level {level} cannot run: {detail} (adapter declared it but did not populate the required fields)"
+    return _level(level, none, none, F.lit(False), none, F.lit(f"{level} lacks {fields}"))
+
+
+def _compared(printed: Column, found: Column) -> Column:
+    return F.concat(
+        F.lit("printed "), _usd(printed), F.lit(", rows give "), _usd(found), F.lit(", apart "), _usd(F.abs(found - printed))
     )
-    return _level(level, none, none, F.lit(False), none, message)
 
 
-def _equation(level: str, label: str, expected: Column, actual: Column) -> Column:
+def _equation(level: str, expected: Column, actual: Column) -> Column:
     diff = expected - actual
-    passed = diff == 0
-    message = F.when(passed, F.concat(F.lit(f"Equation holds: {label} = "), _usd(actual), F.lit("."))).otherwise(
-        F.concat(
-            F.lit(f"Equation broke ({label}): statement shows "), _usd(actual), F.lit(", parser computes "),
-            _usd(expected), F.lit(" (off by "), _usd(F.abs(diff)),
-            F.when(diff < 0, F.lit(" low).")).otherwise(F.lit(" high).")),
-        )
+    message = F.when(diff == 0, F.concat(F.lit(f"{level} holds at "), _usd(actual))).otherwise(
+        F.concat(F.lit(f"{level} fails: "), _compared(actual, expected))
     )
-    return _level(level, expected, actual, passed, diff, message)
+    return _level(level, expected, actual, diff == 0, diff, message)
 
 
 def _section(title: str, printed: Column, found: Column) -> Column:
-    diff = found - printed
-    return F.when(diff != 0, F.concat(
-        F.lit(f"{title}: statement says "), _usd(printed), F.lit(", parser found "), _usd(found),
-        F.lit(" (off by "), _usd(F.abs(diff)), F.when(diff < 0, F.lit(" low)")).otherwise(F.lit(" high)")),
-    ))
+    return F.when(found != printed, F.concat(F.lit(f"{title} "), _compared(printed, found)))
 
 
 def level_a() -> Column:
     """opening + rows = closing."""
     opening, closing = F.col("opening_balance_minor"), F.col("closing_balance_minor")
-    return F.when(
-        opening.isNull() | closing.isNull(),
-        _missing("A", "opening_balance_minor and closing_balance_minor must both be populated"),
-    ).otherwise(_equation(
-        "A", "opening + transactions = closing balance", opening + F.col("row_sum"), closing
-    ))
+    return F.when(opening.isNull() | closing.isNull(), _missing("A", "opening or closing")).otherwise(
+        _equation("A", opening + F.col("row_sum"), closing)
+    )
 
 
 def level_b() -> Column:
@@ -84,16 +75,12 @@ def level_b() -> Column:
     debits, credits = F.col("total_debits_minor"), F.col("total_credits_minor")
     found_d, found_c = F.col("debit_sum"), F.col("credit_sum")
     passed = (found_d == debits) & (found_c == credits)
-    message = F.when(passed, F.concat(
-        F.lit("Section totals match: purchases & charges total "), _usd(debits),
-        F.lit(", payments & credits total "), _usd(credits), F.lit("."),
-    )).otherwise(F.concat_ws(
-        " · ", _section("Purchases & charges", debits, found_d), _section("Payments & credits", credits, found_c)
-    ))
-    return F.when(
-        debits.isNull() | credits.isNull(),
-        _missing("B", "total_debits_minor and total_credits_minor must both be populated"),
-    ).otherwise(_level(
+    message = F.when(
+        passed, F.concat(F.lit("B holds at debits "), _usd(debits), F.lit(", credits "), _usd(credits))
+    ).otherwise(F.concat(F.lit("B fails: "), F.concat_ws(
+        "; ", _section("debits", debits, found_d), _section("credits", credits, found_c)
+    )))
+    return F.when(debits.isNull() | credits.isNull(), _missing("B", "total debits or credits")).otherwise(_level(
         "B", debits + credits, found_d + found_c, passed,
         F.when(passed, F.lit(0)).otherwise(found_d - debits + found_c - credits).cast("bigint"), message,
     ))
@@ -102,25 +89,18 @@ def level_b() -> Column:
 def level_c() -> Column:
     """previous + charges - payments = new balance."""
     previous, balance = F.col("previous_balance_minor"), F.col("statement_balance_minor")
-    return F.when(
-        previous.isNull() | balance.isNull(),
-        _missing("C", "previous_balance_minor and statement_balance_minor must both be populated"),
-    ).otherwise(_equation(
-        "C", "previous balance + purchases − payments = new balance",
-        previous + F.col("debit_sum") - F.col("credit_sum"), balance,
-    ))
+    return F.when(previous.isNull() | balance.isNull(), _missing("C", "previous or new balance")).otherwise(
+        _equation("C", previous + F.col("debit_sum") - F.col("credit_sum"), balance)
+    )
 
 
 def level_d() -> Column:
     """row count = printed count."""
     printed, found = F.col("printed_transaction_count"), F.col("row_count")
-    message = F.when(printed == found, F.concat(
-        F.lit("Transaction count matches ("), printed.cast("string"), F.lit(" rows)."),
-    )).otherwise(F.concat(
-        F.lit("Transaction count mismatch: statement lists "), printed.cast("string"),
-        F.lit(" rows, parser found "), found.cast("string"), F.lit("."),
-    ))
-    return F.when(printed.isNull(), _missing("D", "printed_transaction_count must be populated")).otherwise(
+    message = F.when(printed == found, F.concat(F.lit("D holds at "), printed.cast("string"))).otherwise(
+        F.concat(F.lit("D fails: printed "), printed.cast("string"), F.lit(", rows "), found.cast("string"))
+    )
+    return F.when(printed.isNull(), _missing("D", "printed count")).otherwise(
         _level("D", printed, found, printed == found, printed - found, message)
     )
 
@@ -155,11 +135,11 @@ def checksum_gate(headers: DataFrame, rows: DataFrame) -> DataFrame:
     provides = F.col("parser_provides")
     strong = F.size(F.filter(provides, lambda level: level != "D"))
     reason = (
-        F.when(F.size(provides) == 0, F.lit("Checksum gate refused: adapter did not declare any reconciliation level."))
-        .when(strong == 0, F.lit("Checksum gate refused: only Level D (transaction count) provided."))
+        F.when(F.size(provides) == 0, F.lit("refused, no level declared"))
+        .when(strong == 0, F.lit("refused, a count alone proves no sum"))
         .when(
             F.size(failed) > 0,
-            F.concat(F.lit("Checksum gate refused: "), F.array_join(F.transform(failed, lambda r: r["message"]), "; ")),
+            F.concat(F.lit("refused, "), F.array_join(F.transform(failed, lambda r: r["message"]), "; ")),
         )
     )
     return checked.withColumn("reason", reason).withColumns({

@@ -86,8 +86,8 @@ def src_csv_headers(spark, sf_dir):
     "src_csv_import",
     over("t", "SELECT CASE WHEN m = 1 THEN '1998/01/05' ELSE CAST(posted_date AS VARCHAR) END AS posted_date, CASE WHEN m = 2 THEN '' ELSE trim(description) END AS description,"
          " CASE m WHEN 3 THEN -abs(amount_minor) WHEN 4 THEN NULL ELSE amount_minor END AS amount_minor, CASE m WHEN 5 THEN 'DOLLARS' WHEN 6 THEN 'EUR' ELSE 'USD' END AS currency,"
-         " CASE WHEN m <> 4 AND (m = 3 OR amount_minor < 0) THEN 'purchase' ELSE 'deposit' END AS transaction_type, CASE m WHEN 1 THEN 'date is not ISO YYYY-MM-DD' WHEN 2 THEN 'description is empty'"
-         " WHEN 3 THEN 'both debit and credit are filled' WHEN 4 THEN 'neither debit nor credit is set' WHEN 5 THEN 'currency is not ISO 4217' ELSE '' END AS errors"
+         " CASE WHEN m <> 4 AND (m = 3 OR amount_minor < 0) THEN 'purchase' ELSE 'deposit' END AS transaction_type, CASE m WHEN 1 THEN 'bad_date' WHEN 2 THEN 'no_description'"
+         " WHEN 3 THEN 'two_amounts' WHEN 4 THEN 'no_amount' WHEN 5 THEN 'bad_currency' ELSE '' END AS errors"
          " FROM (SELECT *, abs(amount_minor) % 41 AS m FROM t)"),
 )
 def src_csv_import(spark, sf_dir):

@@ -1,5 +1,6 @@
 import datetime
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -17,6 +18,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
         # small test data would otherwise end up in one partition, and never cross a block
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     ).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

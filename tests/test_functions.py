@@ -91,3 +91,9 @@ def test_redaction(spark):
     ]
     short = redact.redact(spark.createDataFrame([("4111111111111234",)], "text string"), redact.RedactConfig(keep_last=2))
     assert short.first()["redacted"] == "XXXX-XXXX-XXXX-XXX34"
+
+
+def test_declared_names_are_masked_in_any_case_and_with_any_marks(spark):
+    config = redact.RedactConfig(names=["José", r"A\E (B)"], auto=False)
+    rows = redact.redact(spark.createDataFrame([("JOSÉ met josé",), (r"x a\e (b) y",)], "text string"), config).collect()
+    assert [r.redacted for r in rows] == ["ACCOUNT HOLDER met ACCOUNT HOLDER", "x ACCOUNT HOLDER y"]
