@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     whether any are left.
     """
     live = saved(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    nodes = saved(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    ends = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
+    nodes = saved(ends.withColumn("root", F.col("node")))
     live = live.where("a <> b")
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     while not live.isEmpty():
