@@ -12,6 +12,7 @@ from tallyspark.streaming import jobs
 
 from . import cadence, cards, reports
 from . import fixtures as fx
+from .quality import LEVEL_ROWS
 from .registry import query
 from .sqlbase import ctes, over
 
@@ -420,17 +421,26 @@ def _arrivals(spark, sf_dir):
     return fx.staged_files(spark, sf_dir, "arrivals", lambda path: fx.ledger(spark, sf_dir).drop("origin_hash", "origin_index").write.mode("overwrite").parquet(path))
 
 
-@query("strm_ingest", over("t", _NET))
+# statements that are complete and pass the gate
+_GOOD = (
+    "SELECT t.* FROM t JOIN st2 USING (ledger_id, source_hash) WHERE st2.n >= st2.printed_transaction_count AND provides NOT IN ('', 'D') AND NOT EXISTS ("
+    "SELECT 1 FROM lv WHERE NOT passed AND lv.ledger_id = t.ledger_id AND lv.source_hash = t.source_hash)"
+)
+
+
+@query("strm_ingest", over(["t", "st2"], _NET.replace("FROM t ", f"FROM ({_GOOD}) "), lv=LEVEL_ROWS))
 def strm_ingest(spark, sf_dir):
-    """Every file arrives twice; the report must be that of one arrival."""
+    """Every file arrives twice and statements spread over batches; only whole, sound statements count, once."""
     arrivals = spark.read.parquet(_arrivals(spark, sf_dir))
     work = fx.fresh_folder(spark, "strm_ingest")
+    fx.headers(spark, sf_dir).write.parquet(f"{work}/headers")
     for _ in range(2):
         arrivals.write.mode("append").parquet(f"{work}/inbox")
+        files = -(-len(spark.read.parquet(f"{work}/inbox").inputFiles()) // 2)
         jobs.ingest_stream(
-            spark, f"{work}/inbox", arrivals.schema, f"{work}/table", f"{work}/report", f"{work}/offsets"
+            spark, f"{work}/inbox", arrivals.schema, f"{work}/headers", f"{work}/store", f"{work}/offsets", files
         ).awaitTermination()
-    return jobs.latest_report(spark.read.parquet(f"{work}/report"))
+    return jobs.net_report(spark.read.parquet(f"{work}/store/report"))
 
 
 @query("strm_month", over("t", _NET))

@@ -53,7 +53,7 @@ def _level_sql(level: str) -> str:
     )
 
 
-_ALL_LEVELS = " UNION ALL ".join(_level_sql(level) for level in "ABCD")
+LEVEL_ROWS = " UNION ALL ".join(_level_sql(level) for level in "ABCD")
 
 
 def _level_query(level: str):
@@ -78,7 +78,7 @@ def _gate(spark, sf_dir):
          "SELECT ledger_id, source_hash, provides, CASE provides WHEN '' THEN 'refused, no level declared'"
          " WHEN 'D' THEN 'refused, a count alone proves no sum' ELSE (SELECT 'refused, ' ||"
          " string_agg(message, '; ' ORDER BY level_no) FROM lv WHERE NOT passed AND lv.ledger_id = st2.ledger_id AND lv.source_hash = st2.source_hash) END AS reason FROM st2) st2",
-         lv=_ALL_LEVELS),
+         lv=LEVEL_ROWS),
 )
 def dq_gate(spark, sf_dir):
     return _gate(spark, sf_dir).select("ledger_id", "source_hash", "ok", "strategy_used", "reason")
@@ -277,7 +277,7 @@ def ing_route(spark, sf_dir):
     "ing_outcomes",
     over("st2", "SELECT ledger_id, outcome, count(*) AS files FROM (SELECT ledger_id, CASE WHEN ledger_id % 8 = 6 THEN 'no_adapter' WHEN ledger_id % 8 = 7 OR provides = '' THEN 'parse'"
          " WHEN provides = 'D' OR EXISTS (SELECT 1 FROM lv WHERE NOT passed AND lv.ledger_id = st2.ledger_id AND lv.source_hash = st2.source_hash) THEN 'checksum'"
-         " WHEN right(source_hash, 7)[1:4] < '1996' THEN 'duplicate' ELSE 'success' END AS outcome FROM st2) GROUP BY ALL", lv=_ALL_LEVELS),
+         " WHEN right(source_hash, 7)[1:4] < '1996' THEN 'duplicate' ELSE 'success' END AS outcome FROM st2) GROUP BY ALL", lv=LEVEL_ROWS),
 )
 def ing_outcomes(spark, sf_dir):
     files = ingest.route(_files(spark, sf_dir)).withColumns({

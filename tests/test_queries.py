@@ -13,6 +13,8 @@ DATA = Path("/root/testdata/sf0.001")
 SAMPLE = [
     "agg_spendable_month", "agg_mom", "win_fifo", "jn_reconcile", "win_recurring", "agg_window_summary",
     "dq_gate", "cat_apply", "set_merge_state", "src_csv_read", "redact_text", "strm_ingest",
+    "ing_outcomes", "jn_transfers", "jn_transfer_open", "src_csv_import", "src_restore", "dq_checksum_a", "dq_checksum_b",
+    "dq_checksum_c", "dq_checksum_d", "redact_report", "sink_backup", "flow_infer_detectors",
 ]
 
 
