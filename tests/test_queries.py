@@ -15,6 +15,7 @@ SAMPLE = [
     "dq_gate", "cat_apply", "set_merge_state", "src_csv_read", "redact_text", "strm_ingest",
     "ing_outcomes", "jn_transfers", "jn_transfer_open", "src_csv_import", "src_restore", "dq_checksum_a", "dq_checksum_b",
     "dq_checksum_c", "dq_checksum_d", "redact_report", "sink_backup", "flow_infer_detectors",
+    "cat_nb_predict", "cat_auto",
 ]
 
 
