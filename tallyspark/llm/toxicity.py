@@ -126,7 +126,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: in
     return Machine(terms, bias, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 6000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, limit: int = 12000) -> Machine:
     """Fit on at most `limit` labelled documents outside fold 0; their terms are made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 6000) -> Machine:
     return fit(terms, rows.column("label").to_numpy())
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = 6000, threshold: float = 0.5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = 12000, threshold: float = 0.5) -> DataFrame:
     """Score every whole text: doc_id, held_out, score, predicted.
 
     docs: doc_id, text and others, which are never inputs. Null and empty texts get the score of no
