@@ -183,7 +183,7 @@ def _assemble(tokenizer: str, full: bool):
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if full:
-                columns += [pa.array([r.tolist() for r, _ in out], pa.list_(pa.int32())), pa.array([t for _, t in out], pa.string())]
+                columns += [pa.array([r.astype(np.int32) for r, _ in out], pa.list_(pa.int32())), pa.array([t for _, t in out], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.record_batch(columns, names=names)
 
