@@ -48,11 +48,11 @@ _LINKS = {
 }
 
 
-def _links(table: str) -> dict[str, str]:
+def link_steps(table: str) -> dict[str, str]:
     return {name: sql.replace('{t}', table) for name, sql in _LINKS.items()}
 
 
-def _ledger_links(spark, sf_dir):
+def ledger_links(spark, sf_dir):
     return links.reconcile(fx.ledger(spark, sf_dir), fx.headers(spark, sf_dir))
 
 
@@ -113,7 +113,7 @@ def win_unpaid(spark, sf_dir):
     return cards.unpaid_balance(fx.ledger(spark, sf_dir))
 
 
-@query("jn_reconcile", over("t_repeats", f"SELECT * REPLACE (CAST(matched_date AS VARCHAR) AS matched_date) FROM lnk", **_links("t_repeats")))
+@query("jn_reconcile", over("t_repeats", f"SELECT * REPLACE (CAST(matched_date AS VARCHAR) AS matched_date) FROM lnk", **link_steps("t_repeats")))
 def jn_reconcile(spark, sf_dir):
     return links.reconcile(*_repeats(spark, sf_dir))
 
@@ -121,7 +121,7 @@ def jn_reconcile(spark, sf_dir):
 @query(
     "jn_ambiguous",
     over("t_repeats", "SELECT ledger_id, bank_source_hash, bank_txn_index, matched_amount_minor, CAST(matched_date AS VARCHAR) AS matched_date,"
-         " candidates, cc.h AS first_cc_source_hash, cc.i AS first_cc_txn_index FROM cand WHERE candidates > 1", **_links("t_repeats")),
+         " candidates, cc.h AS first_cc_source_hash, cc.i AS first_cc_txn_index FROM cand WHERE candidates > 1", **link_steps("t_repeats")),
 )
 def jn_ambiguous(spark, sf_dir):
     return links.ambiguous(*_repeats(spark, sf_dir))
@@ -134,19 +134,19 @@ _BANK_ROWS = "t WHERE account_type <> 'credit_card' AND transaction_type = 'paym
     "jn_find_link",
     over("t", "SELECT b.ledger_id, b.source_hash AS bank_source_hash, b.txn_index AS bank_txn_index, CAST(b.posted_date AS VARCHAR) AS posted_date, b.amount_minor,"
          f" l.cc_source_hash, l.cc_txn_index, l.confidence_score FROM (SELECT * FROM {_BANK_ROWS}) b LEFT JOIN lnk l ON l.ledger_id = b.ledger_id"
-         " AND l.bank_source_hash = b.source_hash AND l.bank_txn_index = b.txn_index", **_links("t")),
+         " AND l.bank_source_hash = b.source_hash AND l.bank_txn_index = b.txn_index", **link_steps("t")),
 )
 def jn_find_link(spark, sf_dir):
-    return links.with_link(fx.ledger(spark, sf_dir), _ledger_links(spark, sf_dir))
+    return links.with_link(fx.ledger(spark, sf_dir), ledger_links(spark, sf_dir))
 
 
 @query(
     "jn_unlinked",
     over("t", f"SELECT ledger_id, source_hash AS bank_source_hash, txn_index AS bank_txn_index, amount_minor FROM {_BANK_ROWS}"
-         " AND (ledger_id, source_hash, txn_index) NOT IN (SELECT (ledger_id, bank_source_hash, bank_txn_index) FROM lnk)", **_links("t")),
+         " AND (ledger_id, source_hash, txn_index) NOT IN (SELECT (ledger_id, bank_source_hash, bank_txn_index) FROM lnk)", **link_steps("t")),
 )
 def jn_unlinked(spark, sf_dir):
-    return links.unlinked(fx.ledger(spark, sf_dir), _ledger_links(spark, sf_dir)).select(
+    return links.unlinked(fx.ledger(spark, sf_dir), ledger_links(spark, sf_dir)).select(
         *links.BANK_KEY, "amount_minor"
     )
 
@@ -159,7 +159,7 @@ def jn_issuer_alias(spark, sf_dir):
 
 
 _DRILL = {
-    **_links("t"), **_STEPS,
+    **link_steps("t"), **_STEPS,
     "drill": "SELECT l.*, att.charge_hash, att.charge_index, att.covered_minor, t.posted_date AS charge_date, t.description AS charge_description,"
     " t.amount_minor AS charge_minor FROM lnk l JOIN att ON att.ledger_id = l.ledger_id AND att.payment_hash = l.cc_source_hash AND att.payment_index = l.cc_txn_index"
     " JOIN t ON t.ledger_id = l.ledger_id AND t.source_hash = att.charge_hash AND t.txn_index = att.charge_index",
@@ -170,7 +170,7 @@ _DRILL_COLS = "ledger_id, bank_source_hash, bank_txn_index, cc_source_hash, cc_t
 @query("jn_drill", over("t", f"SELECT {_DRILL_COLS}, CAST(charge_date AS VARCHAR) AS charge_date FROM drill", **_DRILL))
 def jn_drill(spark, sf_dir):
     drill = links.payment_drill(
-        _ledger_links(spark, sf_dir), _attributions(spark, sf_dir), fx.ledger(spark, sf_dir)
+        ledger_links(spark, sf_dir), _attributions(spark, sf_dir), fx.ledger(spark, sf_dir)
     )
     return drill.select(*[c.strip() for c in _DRILL_COLS.split(",")], "charge_date")
 
@@ -183,7 +183,7 @@ def jn_drill(spark, sf_dir):
 )
 def jn_drill_sections(spark, sf_dir):
     drill = links.payment_drill(
-        _ledger_links(spark, sf_dir), _attributions(spark, sf_dir), fx.ledger(spark, sf_dir)
+        ledger_links(spark, sf_dir), _attributions(spark, sf_dir), fx.ledger(spark, sf_dir)
     )
     return links.drill_sections(drill, fx.headers(spark, sf_dir))
 
@@ -193,11 +193,11 @@ def jn_drill_sections(spark, sf_dir):
     over("t", "SELECT ledger_id, bank_source_hash, bank_txn_index, cc_source_hash, CAST(CASE f WHEN 1 THEN -1 ELSE cc_txn_index END AS BIGINT) AS cc_txn_index,"
          " CASE f WHEN 1 THEN 'card row is missing' ELSE 'bank row is linked more than once' END AS reason FROM ("
          " SELECT *, unnest(CASE WHEN matched_amount_minor % 11 = 0 THEN [1] WHEN matched_amount_minor % 11 = 1 THEN [2, 2] ELSE CAST([] AS INTEGER[]) END) AS f FROM lnk)",
-         **_links("t")),
+         **link_steps("t")),
 )
 def dq_link_contract(spark, sf_dir):
     """Links with planted faults: a missing card row, and a link stored twice."""
-    good = _ledger_links(spark, sf_dir)
+    good = ledger_links(spark, sf_dir)
     fault = F.col("matched_amount_minor") % 11
     planted = good.withColumn("cc_txn_index", F.when(fault == 0, F.lit(-1)).otherwise(F.col("cc_txn_index")))
     planted = planted.unionByName(good.filter(fault == 1))
@@ -207,7 +207,7 @@ def dq_link_contract(spark, sf_dir):
 @query(
     "agg_counts",
     over("st2", "SELECT ledger_id, count(*) FILTER (card) AS card_statements, count(*) FILTER (NOT card) AS bank_statements,"
-         " (SELECT count(*) FROM lnk WHERE lnk.ledger_id = st2.ledger_id) AS links FROM st2 GROUP BY ledger_id", **_links("t")),
+         " (SELECT count(*) FROM lnk WHERE lnk.ledger_id = st2.ledger_id) AS links FROM st2 GROUP BY ledger_id", **link_steps("t")),
 )
 def agg_counts(spark, sf_dir):
-    return links.link_counts(_ledger_links(spark, sf_dir), fx.headers(spark, sf_dir))
+    return links.link_counts(ledger_links(spark, sf_dir), fx.headers(spark, sf_dir))

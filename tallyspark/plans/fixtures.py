@@ -495,7 +495,22 @@ def ledger_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("ledger_id").distinct().select(
         "ledger_id",
         F.inline(F.array(*[
-            F.struct(F.lit(c).alias("category_id"), F.lit(n).alias("name")) for c, n, _ in CATEGORIES
+            F.struct(F.lit(c).alias("category_id"), F.lit(n).alias("name"), F.lit(p).cast("string").alias("parent_id"))
+            for c, n, p in CATEGORIES
+        ])),
+    )
+
+
+def ledger_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ledger's own copy of the rule list."""
+    text = lambda v: F.lit(v).cast("string")
+    return ledger(spark, sf_dir).select("ledger_id").distinct().select(
+        "ledger_id",
+        F.inline(F.array(*[
+            F.struct(
+                F.lit(no).alias("rule_no"), text(rule).alias("rule_id"), text(contains).alias("contains"), text(pattern).alias("pattern"),
+                F.lit(case).alias("case_sensitive"), text(category).alias("category_id"), F.lit(enabled).alias("enabled"),
+            ) for no, rule, contains, pattern, case, category, enabled in RULES
         ])),
     )
 

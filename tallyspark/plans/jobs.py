@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import schemas
@@ -128,8 +131,9 @@ def src_state_read(spark, sf_dir):
 
 def _tables(spark, sf_dir):
     return {
-        "transactions": fx.ledger(spark, sf_dir), "annotations": fx.edits(spark, sf_dir),
-        "limits": fx.limits(spark, sf_dir), "goals": fx.goals(spark, sf_dir),
+        "transactions": fx.ledger(spark, sf_dir), "statements": fx.headers(spark, sf_dir), "annotations": fx.edits(spark, sf_dir),
+        "links": cards.ledger_links(spark, sf_dir), "categories": fx.ledger_categories(spark, sf_dir),
+        "rules": fx.ledger_rules(spark, sf_dir), "limits": fx.limits(spark, sf_dir), "goals": fx.goals(spark, sf_dir),
     }
 
 
@@ -140,15 +144,26 @@ def _backup_path(spark, sf_dir):
     )
 
 
-_COUNTS = (
-    "SELECT 'transactions' AS \"table\", count(*) AS rows FROM t UNION ALL SELECT 'annotations', count(*) FROM ann UNION ALL"
-    " SELECT 'limits', 4 * count(*) FROM customer UNION ALL SELECT 'goals', count(*) FROM customer"
+_COUNTS = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", {rows} AS rows" for name, rows in {
+        "transactions": "(SELECT count(*) FROM t)", "statements": "(SELECT count(*) FROM st2)", "annotations": "(SELECT count(*) FROM ann)",
+        "links": "(SELECT count(*) FROM lnk)", "categories": f"(SELECT {len(fx.CATEGORIES)} * count(DISTINCT ledger_id) FROM t)",
+        "rules": f"(SELECT {len(fx.RULES)} * count(DISTINCT ledger_id) FROM t)",
+        "limits": "(SELECT 4 * count(*) FROM customer)", "goals": "(SELECT count(*) FROM customer)",
+    }.items()
 )
 
 
-@query("sink_backup", over(["t", "ann"], f"SELECT 'tallyspark-backup' AS app, CAST(1 AS BIGINT) AS backup_version, \"table\", rows FROM ({_COUNTS})"))
+@query("sink_backup", over(["t", "ann", "st2"], f"SELECT 'tallyspark-backup' AS app, CAST(1 AS BIGINT) AS backup_version, \"table\", rows FROM ({_COUNTS})", **cards.link_steps("t")))
 def sink_backup(spark, sf_dir):
-    return spark.read.parquet(f"{_backup_path(spark, sf_dir)}/manifest").select("app", "backup_version", "table", "rows")
+    """Every section of the backup, counted as it is read back."""
+    path = _backup_path(spark, sf_dir)
+    manifest = spark.read.parquet(f"{path}/manifest").select("app", "backup_version", "table")
+    counted = [
+        spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+        for name in [*backup.REQUIRED, *backup.OPTIONAL]
+    ]
+    return manifest.join(reduce(DataFrame.unionByName, counted), "table")
 
 
 @query("src_restore", over(["t", "ann"], f"SELECT {_KEY}, amount_minor, category_id FROM t LEFT JOIN ann USING ({_KEY})"))
@@ -156,24 +171,13 @@ def src_restore(spark, sf_dir):
     """The restored transactions with their restored annotations."""
     target = fx.staged_files(
         spark, sf_dir, "restored",
-        lambda path: backup.restore(
-            spark, _backup_path(spark, sf_dir), path,
-            {"transactions": _stored_contract()},
-        ),
+        lambda path: backup.restore(spark, _backup_path(spark, sf_dir), path, backup.contracts()),
     )
     rows = spark.read.parquet(f"{target}/transactions")
     edits = spark.read.parquet(f"{target}/annotations").select(*_KEYS, "category_id")
     return rows.join(edits, _KEYS, "left").select(*_KEYS, "amount_minor", "category_id")
 
 
-def _stored_contract():
-    return quality.issues([
-        ("amount_minor: missing", F.col("amount_minor").isNotNull()),
-        ("posted_date: missing", F.col("posted_date").isNotNull()),
-        ("transaction_type: unknown", F.col("transaction_type").isin(schemas.TRANSACTION_TYPES)),
-        ("currency: not three capitals", F.col("currency").rlike(r"^[A-Z]{3}\z")),
-    ])
-
 
 # ---- transfers -------------------------------------------------------------------------
 
@@ -244,11 +248,11 @@ def jn_transfer_exclude(spark, sf_dir):
     "flow_infer_detectors",
     _with_pairs(["fl"], f"SELECT {_KEY}, coalesce(user_intent, CASE WHEN ({_KEY}) IN (SELECT (ledger_id, bank_source_hash, bank_txn_index) FROM lnk) THEN 'cc_payment'"
                 f" WHEN ({_KEY}) IN (SELECT ({_KEY}) FROM {_LEGS}) THEN 'transfer_self' WHEN ({_KEY}) IN (SELECT ({_KEY}) FROM pc WHERE confidence IS NOT NULL) THEN 'salary' ELSE intent END)"
-                " AS flow_intent FROM fl", **cards._links("t"), **cadence._PAY),
+                " AS flow_intent FROM fl", **cards.link_steps("t"), **cadence._PAY),
 )
 def flow_infer_detectors(spark, sf_dir):
     """Flow intents sharpened by links, transfer pairs and paychecks."""
-    found = cards._ledger_links(spark, sf_dir).select(
+    found = cards.ledger_links(spark, sf_dir).select(
         "ledger_id", F.col("bank_source_hash").alias("source_hash"), F.col("bank_txn_index").alias("txn_index")
     )
     return flow.infer_flow(

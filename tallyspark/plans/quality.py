@@ -190,7 +190,7 @@ def ing_dedup_rows(spark, sf_dir):
     "ing_remove",
     over("t", "SELECT 'row' AS what, ledger_id, source_hash AS h, txn_index AS i FROM t WHERE right(source_hash, 4) <> '7-03' UNION ALL"
          " SELECT 'link' AS what, ledger_id, bank_source_hash AS h, bank_txn_index AS i FROM lnk WHERE right(bank_source_hash, 4) <> '7-03' AND right(cc_source_hash, 4) <> '7-03'",
-         **cards._links("t")),
+         **cards.link_steps("t")),
 )
 def ing_remove(spark, sf_dir):
     """Remove the statements of March 1997 and the links that touch them."""
@@ -198,7 +198,7 @@ def ing_remove(spark, sf_dir):
     rows = ingest.remove_statements(_rows(spark, sf_dir), removed).select(
         F.lit("row").alias("what"), "ledger_id", F.col("source_hash").alias("h"), F.col("txn_index").alias("i")
     )
-    kept = ingest.remove_links(cards._ledger_links(spark, sf_dir), removed).select(
+    kept = ingest.remove_links(cards.ledger_links(spark, sf_dir), removed).select(
         F.lit("link").alias("what"), "ledger_id", F.col("bank_source_hash").alias("h"), F.col("bank_txn_index").alias("i")
     )
     return rows.unionByName(kept)
@@ -339,14 +339,14 @@ def ing_type_infer(spark, sf_dir):
 @query(
     "set_merge_state",
     over("t", "SELECT 'row' AS what, ledger_id, source_hash AS h, txn_index AS i, CASE WHEN right(source_hash, 7)[1:4] > '1999' THEN amount_minor + 1 ELSE amount_minor END AS v FROM t UNION ALL"
-         " SELECT 'link' AS what, ledger_id, bank_source_hash AS h, bank_txn_index AS i, matched_amount_minor AS v FROM lnk", **cards._links("t")),
+         " SELECT 'link' AS what, ledger_id, bank_source_hash AS h, bank_txn_index AS i, matched_amount_minor AS v FROM lnk", **cards.link_steps("t")),
 )
 def set_merge_state(spark, sf_dir):
     """Left state: statements to 1999; right state: corrected statements from 1999 on."""
     left = _rows(spark, sf_dir).filter(F.substring("source_hash", -7, 4) <= "1999")
     right = _late(spark, sf_dir)
     rows = merge.merge_rows(left, right)
-    found = cards._ledger_links(spark, sf_dir)
+    found = cards.ledger_links(spark, sf_dir)
     year = F.substring("bank_source_hash", -7, 4)
     merged = merge.merge_links(found.filter(year <= "1999"), found.filter(year >= "1999"), rows)
     return rows.select(

@@ -5,11 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark import schemas
+from tallyspark.operators.quality import issues
+
 BACKUP_VERSION = 1
 MARKER = "tallyspark-backup"
-REQUIRED = ["transactions", "annotations"]
-OPTIONAL = {"limits": "ledger_id bigint, category_id string, limit_minor bigint",
-            "goals": "ledger_id bigint, id string, name string, target_minor bigint, saved_minor bigint, deadline string"}
+REQUIRED = ["transactions", "statements", "annotations"]
+# sections that older backups may lack, and their columns
+OPTIONAL = {
+    "links": "ledger_id bigint, bank_source_hash string, bank_txn_index bigint, cc_source_hash string, cc_txn_index bigint",
+    "categories": "ledger_id bigint, category_id string, name string, parent_id string",
+    "rules": "ledger_id bigint, rule_no int, rule_id string, category_id string, enabled boolean",
+    "limits": "ledger_id bigint, category_id string, limit_minor bigint",
+    "goals": "ledger_id bigint, id string, name string, target_minor bigint, saved_minor bigint, deadline string",
+}
+
+
+def contracts() -> dict[str, Column]:
+    """What every row of a section must have to be stored again."""
+    filled = lambda c: F.length(F.trim(c)) > 0
+    given = lambda *names: [(f"{n}: missing", F.col(n).isNotNull()) for n in names]
+    key = given("ledger_id", "source_hash", "txn_index")
+    currency = ("currency: not three capitals", F.col("currency").rlike(r"^[A-Z]{3}\z"))
+    return {
+        "transactions": issues([
+            *key, *given("amount_minor", "posted_date"), currency,
+            ("transaction_type: unknown", F.col("transaction_type").isin(schemas.TRANSACTION_TYPES)),
+        ]),
+        "statements": issues([
+            *given("ledger_id"), ("source_hash: empty", filled("source_hash")), ("bank_name: empty", filled("bank_name")),
+            ("account_type: unknown", F.col("account_type").isin(schemas.ACCOUNT_TYPES)), currency,
+        ]),
+        "annotations": issues(key),
+        "links": issues(given("ledger_id", "bank_source_hash", "bank_txn_index", "cc_source_hash", "cc_txn_index")),
+        "categories": issues([
+            *given("ledger_id"), ("category_id: empty", filled("category_id")), ("name: empty", filled("name")),
+            ("parent_id: itself", F.col("parent_id").isNull() | (F.col("parent_id") != F.col("category_id"))),
+        ]),
+        "rules": issues([*given("ledger_id", "enabled"), ("rule_id: empty", filled("rule_id")), ("category_id: empty", filled("category_id"))]),
+        "limits": issues([*given("ledger_id", "category_id"), ("limit_minor: negative", F.col("limit_minor") >= 0)]),
+        "goals": issues([*given("ledger_id", "target_minor"), ("id: empty", filled("id"))]),
+    }
 
 
 def write_backup(spark: SparkSession, path: str, tables: dict[str, DataFrame], exported_at: str) -> DataFrame:
@@ -39,21 +75,21 @@ def read_backup(spark: SparkSession, path: str, contracts: dict[str, Column]) ->
     """
     manifest = {r["table"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
     if not manifest or any(r["app"] != MARKER for r in manifest.values()):
-        raise ValueError("backup import: missing app marker")
+        raise ValueError("not a backup of this library")
     version = max(r["backup_version"] for r in manifest.values())
     if version > BACKUP_VERSION:
-        raise ValueError(f"backup import: written by a newer version ({version} > {BACKUP_VERSION})")
+        raise ValueError(f"version {version} is newer than {BACKUP_VERSION}")
     missing = [name for name in REQUIRED if name not in manifest]
     if missing:
-        raise ValueError(f"backup import: missing tables {missing}")
+        raise ValueError(f"incomplete backup, without {missing}")
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in manifest}
     for name, df in tables.items():
         broken = F.size(contracts[name]) > 0 if name in contracts else F.lit(False)
         found = df.agg(F.count("*").alias("rows"), F.count_if(broken).alias("broken")).first()
         if found["rows"] != manifest[name]["rows"]:
-            raise ValueError(f"backup import: {name} has {found['rows']} of {manifest[name]['rows']} rows")
+            raise ValueError(f"{name} has {found['rows']} of {manifest[name]['rows']} rows")
         if found["broken"]:
-            raise ValueError(f"backup import: {found['broken']} rows of {name} failed the schema check")
+            raise ValueError(f"{found['broken']} rows of {name} break their contract")
     for name, schema in OPTIONAL.items():
         tables.setdefault(name, spark.createDataFrame([], schema))
     return tables

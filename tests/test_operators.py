@@ -187,15 +187,43 @@ def test_state_and_backup_refuse_newer_or_partial(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"version": 9, "ledger_id": 1}\n')
     with pytest.raises(ValueError, match="newer"):
         state.read_state(spark, str(tmp_path / "s.json"))
-    tables = {"transactions": spark.range(3).toDF("amount_minor"), "annotations": spark.range(1)}
+    tables = {"transactions": spark.range(3).toDF("amount_minor"), "annotations": spark.range(1), "statements": spark.range(2)}
     path = str(tmp_path / "b")
     backup.write_backup(spark, path, tables, "now")
     restored = backup.read_backup(spark, path, {})
-    assert restored["goals"].isEmpty() and restored["transactions"].count() == 3
+    assert restored["goals"].isEmpty() and restored["links"].isEmpty() and restored["transactions"].count() == 3
     spark.range(2).toDF("amount_minor").write.mode("overwrite").parquet(f"{path}/transactions")
     with pytest.raises(ValueError, match="2 of 3 rows"):
         backup.read_backup(spark, path, {})
-    broken = {"transactions": quality.issues([("never", F.lit(False))])}
     backup.write_backup(spark, path, {"transactions": spark.range(3), "annotations": spark.range(1)}, "now")
-    with pytest.raises(ValueError, match="schema check"):
-        backup.read_backup(spark, path, broken)
+    with pytest.raises(ValueError, match="statements"):
+        backup.read_backup(spark, path, {})
+
+
+GOOD_SECTIONS = {
+    "transactions": "1L AS ledger_id, 'h' AS source_hash, 0L AS txn_index, 5L AS amount_minor, date'2024-01-01' AS posted_date, 'USD' AS currency, 'deposit' AS transaction_type",
+    "statements": "1L AS ledger_id, 'h' AS source_hash, 'B' AS bank_name, 'checking' AS account_type, 'USD' AS currency",
+    "annotations": "1L AS ledger_id, 'h' AS source_hash, 0L AS txn_index",
+    "links": "1L AS ledger_id, 'h' AS bank_source_hash, 0L AS bank_txn_index, 'c' AS cc_source_hash, 0L AS cc_txn_index",
+    "categories": "1L AS ledger_id, 'c-a' AS category_id, 'A' AS name, string(null) AS parent_id",
+    "rules": "1L AS ledger_id, 0 AS rule_no, 'r' AS rule_id, 'c-a' AS category_id, true AS enabled",
+    "limits": "1L AS ledger_id, 'c-a' AS category_id, 5L AS limit_minor",
+    "goals": "1L AS ledger_id, 'g' AS id, 'G' AS name, 5L AS target_minor, 0L AS saved_minor, string(null) AS deadline",
+}
+FAULTS = {
+    "transactions": ("currency", "'usd'"), "statements": ("bank_name", "' '"), "annotations": ("source_hash", "string(null)"),
+    "links": ("cc_txn_index", "bigint(null)"), "categories": ("parent_id", "'c-a'"), "rules": ("rule_id", "''"),
+    "limits": ("limit_minor", "-1L"), "goals": ("id", "''"),
+}
+
+
+def test_backup_refuses_a_fault_in_any_section(spark, tmp_path):
+    path = str(tmp_path / "b")
+    tables = {name: spark.sql(f"SELECT {columns}") for name, columns in GOOD_SECTIONS.items()}
+    backup.write_backup(spark, path, tables, "now")
+    assert {n: t.count() for n, t in backup.read_backup(spark, path, backup.contracts()).items()} == dict.fromkeys(tables, 1)
+    for name, (column, value) in FAULTS.items():
+        tables[name].withColumn(column, F.expr(value)).write.mode("overwrite").parquet(f"{path}/{name}")
+        with pytest.raises(ValueError, match=f"1 rows of {name} break"):
+            backup.read_backup(spark, path, backup.contracts())
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
