@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import avi, chunks, decontaminate, jaccard, lines, pages, passages, quality, simple8b, toxicity
+from tallyspark.llm import avi, chunks, decontaminate, jaccard, lines, packing, pages, passages, quality, simple8b, toxicity, whiten
 from tallyspark.llm.store import table
 
 
@@ -55,6 +55,14 @@ def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.avi_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_simple8b_tokens": op2_simple8b_tokens,
@@ -66,6 +74,8 @@ QUERIES = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_avi_media": op9_avi_media,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_bin_slack_packing": op13_bin_slack_packing,
 }
 
 ORACLES: dict[str, str] = {}
