@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import avi, chunks, decontaminate, jaccard, lines, packing, pages, passages, quality, simple8b, toxicity, whiten
+from tallyspark.llm import (
+    avi, chunks, collocations, decontaminate, jaccard, lines, packing, pages, passages, quality, simple8b, toxicity, whiten,
+)
 from tallyspark.llm.store import table
 
 
@@ -55,6 +57,10 @@ def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.avi_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_avi_media": op9_avi_media,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_bin_slack_packing": op13_bin_slack_packing,
 }
