@@ -27,8 +27,9 @@ from tallyspark.llm.words import utf8, word_spans
 #: Phrases of one trie, words of one dictionary and bytes of its words, at most.
 TRIE_PHRASES, DICTIONARY, DICTIONARY_BYTES = 1 << 19, 1 << 19, 1 << 24
 #: Bytes of text, and numbers of rewritten text, that are taken together.
-TEXT_BYTES, BLOCK, TOGETHER = 1 << 23, 1 << 15, 1 << 22
-_ROWS = 1 << 17
+TEXT_BYTES, BLOCK, TOGETHER = 1 << 22, 1 << 13, 1 << 19
+#: Candidates that are gathered before they are counted, and rows of one batch.
+KEYS, _ROWS = 1 << 21, 1 << 16
 _CUT = np.zeros(256, bool)
 _CUT[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
 _GAP = _CUT.copy()
@@ -129,22 +130,23 @@ class Trie:
     """A double array over phrases of equal length: state s goes by word c to t = base[s] + c if check[t] is s."""
 
     def __init__(self, phrases: np.ndarray, seed: int = 1):
-        """phrases: one row of word numbers (above 0) each, all different; accept gives a final state's row."""
+        """phrases: one row of word numbers (above 0) each, all different; the base of a final state is its row."""
         count, self.depth = phrases.shape
-        self.alphabet, local = np.unique(phrases, return_inverse=True)
-        local = local.reshape(phrases.shape).astype(np.int64) + 1
+        self.alphabet, local, often = np.unique(phrases, return_inverse=True, return_counts=True)
         self.width = len(self.alphabet) + 1
+        self.code = np.zeros(self.width - 1, np.int32)  # frequent words have low codes, so that children lie close
+        self.code[np.argsort(-often, kind="stable")] = np.arange(1, self.width)
+        local = self.code[local.reshape(phrases.shape)].astype(np.int64)
         self.rng = np.random.default_rng(seed)
         self.base = np.zeros(0, np.int32)
         self.check = np.zeros(0, np.int32)
-        self._grow(max(2 * self.width, 4 * count))
+        self._grow(2 * self.width + count)
         self.check[0] = -2  # the root is state 0
         state = np.zeros(count, np.int64)
         for level in range(self.depth):
             edge, owner = np.unique(state << 32 | local[:, level], return_inverse=True)
             state = self._place(edge >> 32, edge & 0xFFFFFFFF)[owner]
-        self.accept = np.full(len(self.base), -1, np.int32)
-        self.accept[state] = np.arange(count)
+        self.base[state] = np.arange(count)
 
     def _grow(self, size: int) -> None:
         more = size - len(self.base)
@@ -174,23 +176,23 @@ class Trie:
                 self.base[own[todo[fits]]] = base[fits]
                 out[at[took]] = slot[took]
                 todo, tries = todo[~fits], tries + 1
-                if len(todo) and tries % 6 == 0:
-                    self._grow(2 * len(self.base))
+                if len(todo) and tries % 40 == 0:
+                    self._grow(len(self.base) * 5 // 4)
         return out
 
     def walk(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which a phrase starts, and its row: all positions step together, level by level."""
-        spot = np.searchsorted(self.alphabet, numbers)
+        spot = np.searchsorted(self.alphabet, numbers).astype(np.int32)
         spot[spot == len(self.alphabet)] = 0
-        local = np.where(self.alphabet[spot] == numbers, spot + 1, 0)
-        at = np.arange(len(numbers) - self.depth + 1)
-        state = np.zeros(len(at), np.int64)
+        local = np.where(self.alphabet[spot] == numbers, self.code[spot], 0)
+        at = np.arange(len(numbers) - self.depth + 1, dtype=np.int32)
+        state = np.zeros(len(at), np.int32)
         for level in range(self.depth):
             word = local[at + level]
             step = self.base[state] + word
             alive = (word > 0) & (self.check[step] == state)
             at, state = at[alive], step[alive]
-        return at, self.accept[state]
+        return at, self.base[state]
 
 
 def _packed(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,10 +202,6 @@ def _packed(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide[:, 0] << 32 | wide[:, 1], wide[:, 2] << 32 | wide[:, 3]
 
 
-def _sum_keys(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(keys), return_counts=True)
-
-
 def _step(shared, depth: int, extend: bool, whole: bool) -> Callable:
     """Counts of the phrases of a trie (size = depth), and candidates one word longer (size = depth + 1)."""
 
@@ -212,18 +210,17 @@ def _step(shared, depth: int, extend: bool, whole: bool) -> Callable:
         counts = np.zeros(len(phrases) if shared else 0, np.int64)
         keys: list[np.ndarray] = []
 
-        def rows(size: int, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = _packed(ids)
-            for i in range(0, len(n), _ROWS):
-                part = [x[i:i + _ROWS] for x in (a, b, n)]
-                yield pa.record_batch([pa.array(np.full(len(part[0]), size, np.int32)), *map(pa.array, part)], names=["size", "a", "b", "n"])
+        def rows(size: int, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(n), size, np.int32)), *map(pa.array, (*_packed(ids), n))], names=["size", "a", "b", "n"])
 
         def longer() -> Iterator[pa.RecordBatch]:
-            key, n = _sum_keys(keys)
+            own = np.concatenate(keys)
             keys.clear()
-            word = (key & 0xFFFFFFFF)[:, None]
-            before = phrases[key >> 32] if shared else (key >> 32)[:, None]
-            yield from rows(depth + 1, np.hstack([before, word]), n)
+            own, n = np.unique(own, return_counts=True)
+            for i in range(0, len(own), _ROWS):
+                key = own[i:i + _ROWS]
+                before = phrases[key >> 32] if shared else (key >> 32)[:, None]
+                yield rows(depth + 1, np.hstack([before, (key & 0xFFFFFFFF)[:, None]]), n[i:i + _ROWS])
 
         def scan(numbers: np.ndarray) -> None:
             if shared:
@@ -247,15 +244,15 @@ def _step(shared, depth: int, extend: bool, whole: bool) -> Callable:
                 if have >= TOGETHER:
                     scan(np.concatenate(held))
                     held, have = [], 0
-                    if sum(map(len, keys)) >= TOGETHER:
+                    if sum(map(len, keys)) >= KEYS:
                         yield from longer()
         if held:
             scan(np.concatenate(held))
         if keys:
             yield from longer()
         found = np.flatnonzero(counts)
-        if len(found):
-            yield from rows(depth, phrases[found], counts[found])
+        for i in range(0, len(found), _ROWS):
+            yield rows(depth, phrases[found[i:i + _ROWS]], counts[found[i:i + _ROWS]])
 
     return run
 
