@@ -63,3 +63,31 @@ def positions(df: DataFrame, keys: list[str], order: list[Column | str], name: s
         .withColumn(name, F.col(name) + F.coalesce("before", F.lit(0)))
         .drop("before", BLOCK)
     )
+
+
+def middle_values(rows: DataFrame, keys: list[str], value: Column | str, weight: Column | str) -> DataFrame:
+    """The two middle values of each key, `low` and `high` (equal for odd totals), with weights counted exactly.
+
+    Equal values of a key are one cell with their weight; cells are ordered in blocks, and cumulative weights say
+    which cells hold the middle ranks. No key's values are gathered anywhere. Null values and weights below 1 do not count.
+    """
+    value, weight = (F.col(c) if isinstance(c, str) else c for c in (value, weight))
+    cells = rows.select(*keys, value.alias("value"), weight.alias("weight")).filter(
+        F.col("value").isNotNull() & (F.col("weight") > 0)
+    ).groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
+    blocked = ordered_blocks(cells, keys, ["value"])
+    parts = blocked.groupBy(*keys, BLOCK).agg(F.sum("weight").alias("part"))
+    carry = parts.withColumns({
+        "before": F.coalesce(F.sum("part").over(earlier_blocks(keys)), F.lit(0)),
+        "whole": F.sum("part").over(Window.partitionBy(*keys)),
+    }).filter(F.col("part") != F.col("whole")).drop("part")
+    ranked = attach(blocked.withColumns({
+        "last": F.sum("weight").over(within(keys, ["value"])), "own": F.sum("weight").over(Window.partitionBy(*keys, BLOCK)),
+    }), carry, keys).withColumns({
+        "last": F.col("last") + F.coalesce("before", F.lit(0)), "total": F.coalesce("whole", "own"),
+    })
+    holds = lambda rank: F.expr(f"last - weight < {rank} AND {rank} <= last")
+    low, high = holds("(total + 1) div 2"), holds("total div 2 + 1")
+    return ranked.filter(low | high).groupBy(*keys).agg(
+        F.max(F.when(low, F.col("value"))).alias("low"), F.max(F.when(high, F.col("value"))).alias("high")
+    )

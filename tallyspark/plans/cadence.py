@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.operators import budgets, cadence, cashflow, merchants
+from tallyspark.session import durable
 
 from . import fixtures as fx
 from . import reports
@@ -109,8 +110,8 @@ def _paychecks(spark, sf_dir):
 
 
 def _windows(spark, sf_dir):
-    paychecks = _paychecks(spark, sf_dir)
-    return cadence.budget_windows(paychecks, cadence.default_anchor(paychecks))
+    paychecks = durable(_paychecks(spark, sf_dir).select(*schemas.ROW_KEY, "posted_date", "amount_minor"))  # read for both
+    return durable(cadence.budget_windows(paychecks, cadence.default_anchor(paychecks)))
 
 
 @query(
