@@ -373,6 +373,62 @@ def set_delete_category(spark, sf_dir):
     return merge.delete_category(fx.edits(spark, sf_dir), "c-ring").select(*_ANN_COLS)
 
 
+# ledgers of remainder 0 delete a category with two below it, those of remainder 1 a single one and one they do not have
+_GONE = (
+    "SELECT ledger_id, category_id FROM (SELECT DISTINCT ledger_id FROM t), (VALUES (0, 'c-hardware'), (0, 'c-bolt'), (0, 'c-rod'), (1, 'c-ring'), (1, 'c-none')) g(k, category_id)"
+    " WHERE ledger_id % 3 = k"
+)
+_GONE_HERE = "(ledger_id, category_id) IN (SELECT (ledger_id, category_id) FROM gone)"
+
+
+def _after_deletion(spark, sf_dir):
+    categories, ledger = fx.ledger_categories(spark, sf_dir), F.col("ledger_id")
+    deletions = categories.select("ledger_id").distinct().select("ledger_id", F.explode(
+        F.when(ledger % 3 == 0, F.array(F.lit("c-hardware"))).when(ledger % 3 == 1, F.array(F.lit("c-ring"), F.lit("c-none")))
+    ).alias("category_id"))
+    gone = merge.deletion_closure(deletions, categories)
+    return merge.delete_categories(gone, categories, fx.ledger_rules(spark, sf_dir), fx.limits(spark, sf_dir), fx.edits(spark, sf_dir))
+
+
+@query(
+    "set_delete_tree_list",
+    over("t", "SELECT ledger_id, category_id, name, parent_id FROM (SELECT DISTINCT ledger_id FROM t), (VALUES "
+         + ", ".join(f"('{c}', '{n}', {'NULL' if p is None else repr(p)})" for c, n, p in fx.CATEGORIES)
+         + f") k(category_id, name, parent_id) WHERE NOT {_GONE_HERE}", gone=_GONE),
+)
+def set_delete_tree_list(spark, sf_dir):
+    return _after_deletion(spark, sf_dir)["categories"]
+
+
+@query(
+    "set_delete_tree_rules",
+    over("t", "SELECT ledger_id, CAST(rule_no AS BIGINT) AS rule_no, rule_id, category_id FROM (SELECT DISTINCT ledger_id FROM t), (VALUES "
+         + ", ".join(f"({r[0]}, '{r[1]}', '{r[5]}')" for r in fx.RULES) + f") k(rule_no, rule_id, category_id) WHERE NOT {_GONE_HERE}", gone=_GONE),
+)
+def set_delete_tree_rules(spark, sf_dir):
+    return _after_deletion(spark, sf_dir)["rules"].select("ledger_id", F.col("rule_no").cast("bigint").alias("rule_no"), "rule_id", "category_id")
+
+
+@query(
+    "set_delete_tree_limits",
+    over("t", "SELECT ledger_id, category_id, limit_minor FROM (SELECT c_custkey AS ledger_id, category_id, CAST(CASE WHEN category_id = 'c-gear' THEN 0"
+         " ELSE (c_custkey % 10 + 1) * 1500000 END AS BIGINT) AS limit_minor FROM customer, (VALUES ('c-ring'), ('c-bolt'), ('c-food'), ('c-gear')) k(category_id))"
+         f" WHERE NOT {_GONE_HERE}", gone=_GONE),
+)
+def set_delete_tree_limits(spark, sf_dir):
+    return _after_deletion(spark, sf_dir)["limits"]
+
+
+@query(
+    "set_delete_tree_annotations",
+    over(["t", "ann"], "SELECT ledger_id, source_hash, txn_index, CASE WHEN NOT g THEN category_id END AS category_id, CASE WHEN g THEN 'manual' ELSE source END AS source,"
+         f" CASE WHEN NOT g THEN rule_id END AS rule_id FROM (SELECT *, coalesce({_GONE_HERE}, false) AS g FROM ann)"
+         f" WHERE NOT g OR source = 'manual' OR {_EXTRA}", gone=_GONE),
+)
+def set_delete_tree_annotations(spark, sf_dir):
+    return _after_deletion(spark, sf_dir)["annotations"].select(*_ANN_COLS)
+
+
 @query(
     "set_changed",
     over("ann", "SELECT ledger_id, source_hash, txn_index, CASE WHEN source = 'rule' AND NOT " + _EXTRA + " THEN 'removed' ELSE 'changed' END AS change"
