@@ -179,8 +179,8 @@ def card_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     }))
 
 
-def card_payments(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
-    """Payments received on the card; `repeats` books every fiftieth again a day later."""
+def card_payments(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """Payments received on the card; with `again` only every fiftieth, a day later."""
     rows = (
         _orders(spark, sf_dir).filter(F.col("o_orderstatus") == "F")
         .withColumns(_card(F.col("o_custkey")))
@@ -189,12 +189,11 @@ def card_payments(spark: SparkSession, sf_dir: str, repeats: bool = False) -> Da
             "txn_index": F.col("o_orderkey") * 256 + 255,
         })
     )
-    if repeats:
-        again = rows.filter(F.col("o_orderkey") % 50 == 0).withColumns({
+    if again:
+        rows = rows.filter(F.col("o_orderkey") % 50 == 0).withColumns({
             "posted_date": F.date_add("posted_date", 1),
             "txn_index": F.col("txn_index") - 1,
         })
-        rows = rows.unionByName(again)
     return _final(_shape(rows).withColumns({
         "description": F.lit("PAYMENT - THANK YOU"),
         "amount_minor": F.col("total"),
@@ -373,9 +372,14 @@ def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def repeated_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth card payment, booked again a day later."""
+    return card_payments(spark, sf_dir, again=True)
+
+
 def ledger_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variant in which some card payments appear twice, so that links can be ambiguous."""
-    return card_payments(spark, sf_dir, repeats=True).unionByName(bank_payments(spark, sf_dir))
+    """The whole ledger, with some card payments twice, so that links can be ambiguous."""
+    return all_rows(spark, sf_dir).unionByName(repeated_payments(spark, sf_dir))
 
 
 def statements(rows: DataFrame) -> DataFrame:

@@ -129,10 +129,11 @@ def src_state_read(spark, sf_dir):
     )
 
 
-def _tables(spark, sf_dir):
-    return {
+def _tables(spark, sf_dir, links: bool = True):
+    found = {"links": cards.ledger_links(spark, sf_dir)} if links else {}
+    return found | {
         "transactions": fx.ledger(spark, sf_dir), "statements": fx.headers(spark, sf_dir), "annotations": fx.edits(spark, sf_dir),
-        "links": cards.ledger_links(spark, sf_dir), "categories": fx.ledger_categories(spark, sf_dir),
+        "categories": fx.ledger_categories(spark, sf_dir),
         "rules": fx.ledger_rules(spark, sf_dir), "limits": fx.limits(spark, sf_dir), "goals": fx.goals(spark, sf_dir),
     }
 
@@ -168,11 +169,12 @@ def sink_backup(spark, sf_dir):
 
 @query("src_restore", over(["t", "ann"], f"SELECT {_KEY}, amount_minor, category_id FROM t LEFT JOIN ann USING ({_KEY})"))
 def src_restore(spark, sf_dir):
-    """The restored transactions with their restored annotations."""
-    target = fx.staged_files(
-        spark, sf_dir, "restored",
-        lambda path: backup.restore(spark, _backup_path(spark, sf_dir), path, backup.contracts()),
+    """The restored transactions with their restored annotations; the backup is one without links, which are optional."""
+    source = fx.staged_files(
+        spark, sf_dir, "backup_without_links",
+        lambda path: backup.write_backup(spark, path, _tables(spark, sf_dir, links=False), "2026-01-01T00:00:00Z"),
     )
+    target = fx.staged_files(spark, sf_dir, "restored", lambda path: backup.restore(spark, source, path, backup.contracts()))
     rows = spark.read.parquet(f"{target}/transactions")
     edits = spark.read.parquet(f"{target}/annotations").select(*_KEYS, "category_id")
     return rows.join(edits, _KEYS, "left").select(*_KEYS, "amount_minor", "category_id")

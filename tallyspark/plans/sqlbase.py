@@ -185,8 +185,8 @@ CTES: dict[str, tuple[list[str], str]] = {
         ),
     ),
     "t_repeats": (
-        [],
-        f"SELECT {_COLS} FROM ({_CARD_PAYMENTS}) UNION ALL SELECT {_COLS} FROM ({_BANK_PAYMENTS}) UNION ALL "
+        ["t"],
+        f"SELECT {_COLS} FROM t UNION ALL "
         f"SELECT {_COLS} FROM (SELECT ledger_id, account_type || '-' || bank_name || '-' || account_last_4 || '-' || ledger_id || '-'"
         " || strftime(posted_date + 1, '%Y-%m') AS source_hash, txn_index - 1 AS txn_index, bank_name, account_type,"
         " account_last_4, posted_date + 1 AS posted_date, description, amount_minor, transaction_type, origin_hash,"

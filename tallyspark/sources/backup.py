@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,17 +52,26 @@ def contracts() -> dict[str, Column]:
     }
 
 
+def _write_all(tables: dict[str, DataFrame], path: str) -> None:
+    """All tables at the same time; their jobs share the cluster."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda item: item[1].write.mode("overwrite").parquet(f"{path}/{item[0]}"), tables.items()))
+
+
+def _counted(spark: SparkSession, path: str, names: Iterable[str], contracts: dict[str, Column]) -> DataFrame:
+    """(table, rows, broken) of all tables in one job."""
+    broken = lambda name: F.size(contracts[name]) > 0 if name in contracts else F.lit(False)
+    return reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{path}/{name}").agg(
+            F.lit(name).alias("table"), F.count("*").alias("rows"), F.count_if(broken(name)).alias("broken"))
+        for name in names
+    ])
+
+
 def write_backup(spark: SparkSession, path: str, tables: dict[str, DataFrame], exported_at: str) -> DataFrame:
     """One Parquet directory per table, then the manifest, which makes the backup valid."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    written = [
-        spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
-        for name in sorted(tables)
-    ]
-    manifest = written[0]
-    for part in written[1:]:
-        manifest = manifest.unionByName(part)
+    _write_all(tables, path)
+    manifest = _counted(spark, path, sorted(tables), {})
     manifest = manifest.select(
         F.lit(MARKER).alias("app"), F.lit(BACKUP_VERSION).alias("backup_version"),
         F.lit(exported_at).alias("exported_at"), "table", "rows",
@@ -82,14 +95,13 @@ def read_backup(spark: SparkSession, path: str, contracts: dict[str, Column]) ->
     missing = [name for name in REQUIRED if name not in manifest]
     if missing:
         raise ValueError(f"incomplete backup, without {missing}")
+    found = {r["table"]: r for r in _counted(spark, path, manifest, contracts).collect()}
+    for name in manifest:
+        if found[name]["rows"] != manifest[name]["rows"]:
+            raise ValueError(f"{name} has {found[name]['rows']} of {manifest[name]['rows']} rows")
+        if found[name]["broken"]:
+            raise ValueError(f"{found[name]['broken']} rows of {name} break their contract")
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in manifest}
-    for name, df in tables.items():
-        broken = F.size(contracts[name]) > 0 if name in contracts else F.lit(False)
-        found = df.agg(F.count("*").alias("rows"), F.count_if(broken).alias("broken")).first()
-        if found["rows"] != manifest[name]["rows"]:
-            raise ValueError(f"{name} has {found['rows']} of {manifest[name]['rows']} rows")
-        if found["broken"]:
-            raise ValueError(f"{found['broken']} rows of {name} break their contract")
     for name, schema in OPTIONAL.items():
         tables.setdefault(name, spark.createDataFrame([], schema))
     return tables
@@ -98,6 +110,5 @@ def read_backup(spark: SparkSession, path: str, contracts: dict[str, Column]) ->
 def restore(spark: SparkSession, backup: str, target: str, contracts: dict[str, Column]) -> dict[str, DataFrame]:
     """Check everything, then overwrite the target tables."""
     tables = read_backup(spark, backup, contracts)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
+    _write_all(tables, target)
     return {name: spark.read.parquet(f"{target}/{name}") for name in tables}
