@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,5 +64,11 @@ def drop(df: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of finished plans, so that Spark's cleaner deletes their shuffle files now and not some half hour later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
