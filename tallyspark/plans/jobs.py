@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark import schemas
 from tallyspark.functions import fixed, redact
 from tallyspark.operators import flow, layout, merge, quality, transfers
-from tallyspark.sources import backup, csv, state
+from tallyspark.sources import backup, csv, files, state
 from tallyspark.streaming import jobs
 
 from . import cadence, cards, reports
@@ -457,3 +457,47 @@ def strm_month(spark, sf_dir):
         spark, source, spark.read.parquet(source).schema, f"{work}/report", f"{work}/offsets"
     ).awaitTermination()
     return jobs.latest_months(spark.read.parquet(f"{work}/report"))
+
+
+# ---- files as bytes --------------------------------------------------------------------
+
+# one file per source of the documents, and copies of two of them under other names
+_FILES = (
+    "SELECT source AS name, sha256(content) AS source_hash, CAST(octet_length(encode(content)) AS BIGINT) AS n_bytes"
+    " FROM (SELECT source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY source)"
+)
+
+
+def _statement_folder(spark, sf_dir):
+    def write(path):
+        docs = fx.table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        for copy, part in (("first", docs), ("again", docs.filter(F.col("source") < "src15"))):
+            part.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(f"{path}/{copy}")
+
+    return fx.staged_files(spark, sf_dir, "statement_files", write)
+
+
+def _files(spark, sf_dir):
+    found = files.statement_files(spark, _statement_folder(spark, sf_dir)).filter(F.col("path").endswith(".txt"))
+    return found.withColumns({
+        "name": F.regexp_extract("path", "source=([^/]*)/", 1), "copy": F.regexp_extract("path", "/(first|again)/source=", 1),
+    })
+
+
+@query(
+    "src_files",
+    f"SELECT name, copy, source_hash, n_bytes, 'ok' AS status FROM ({_FILES}), (VALUES ('first'), ('again')) c(copy)"
+    " WHERE copy = 'first' OR name < 'src15'",
+)
+def src_files(spark, sf_dir):
+    """Hash of the bytes of every written file."""
+    return _files(spark, sf_dir).select("name", "copy", "source_hash", "n_bytes", "status")
+
+
+@query("src_files_new", f"SELECT name, source_hash, n_bytes FROM ({_FILES}) WHERE n_bytes % 2 = 1")
+def src_files_new(spark, sf_dir):
+    """Files of even size were imported before; of equal files one stays."""
+    found = _files(spark, sf_dir)
+    known = found.filter(F.col("n_bytes") % 2 == 0)
+    fresh = files.new_files(found, known)
+    return fresh.join(found.select("path", "name"), "path").select("name", "source_hash", "n_bytes")
