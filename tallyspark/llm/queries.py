@@ -85,4 +85,27 @@ QUERIES = {
     "op13_bin_slack_packing": op13_bin_slack_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: Phrase counts in SQL: all runs of one to four words of every piece, counted by lang.
+_COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+  g AS (SELECT lang, k, ws[i:i + k - 1] AS ph FROM (
+          SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(ws) >= k)),
+  c AS (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL),
+  cand AS (SELECT * FROM c WHERE k > 1 AND f >= 30),
+  cut AS (SELECT lang, ph, f AS a, j, ph[1:j] AS le, ph[j + 1:k] AS ri FROM cand, (VALUES (1), (2), (3)) v(j) WHERE j < k),
+  s AS (SELECT cut.lang, cut.ph, cut.a, min({'score': 2000000 * cut.a // (x.f + y.f), 'j': cut.j, 'l': x.f, 'r': y.f}) AS b
+          FROM cut JOIN c x ON x.lang = cut.lang AND x.ph = cut.le JOIN c y ON y.lang = cut.lang AND y.ph = cut.ri GROUP BY ALL),
+  part AS (SELECT lang, f, ph[i:i + m - 1] AS ph FROM (
+          SELECT lang, f, m, ph, unnest(range(1, k - m + 2)) AS i FROM cand, (VALUES (2), (3)) v(m) WHERE m < k)),
+  hidden AS (SELECT DISTINCT cand.lang, cand.ph FROM cand JOIN part ON part.lang = cand.lang AND part.ph = cand.ph WHERE 100 * part.f >= 80 * cand.f),
+  r AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, b.l AS l, b.r AS r, b.score AS score FROM s
+          WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.lang = s.lang AND hidden.ph = s.ph))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+JOIN (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_phrase_collocations": _COLLOCATIONS}
