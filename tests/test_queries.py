@@ -15,7 +15,8 @@ SAMPLE = [
     "dq_gate", "cat_apply", "set_merge_state", "src_csv_read", "redact_text", "strm_ingest",
     "ing_outcomes", "jn_transfers", "jn_transfer_open", "src_csv_import", "src_restore", "dq_checksum_a", "dq_checksum_b",
     "dq_checksum_c", "dq_checksum_d", "redact_report", "sink_backup", "flow_infer_detectors",
-    "cat_nb_predict", "cat_auto",
+    "cat_nb_predict", "cat_auto", "set_delete_tree_list", "set_delete_tree_rules", "set_delete_tree_limits",
+    "set_delete_tree_annotations", "src_files", "src_files_new", "cat_rename", "jn_ambiguous", "jn_window_range", "win_biweekly_flag",
 ]
 
 
