@@ -1,10 +1,11 @@
 """Main text of web pages, with site templates removed.
 
-Every page becomes a tree of elements. Subtrees outside its article are hashed by tags, classes and
-text, and counted per host in Spark; subtrees that stand on many pages of one host are the site's
+Every page becomes a tree of elements. Its block subtrees are hashed by tags, classes and
+text, and counted per host in Spark over pages of different text; subtrees that stand on many such pages of one host are the site's
 template and are deleted, as are elements whose tag, role or class says menu, header, footer, sidebar,
 notice, advert, form, script or reader comment. What is left of the article (the largest one, else
-main, else the body) is the text. Blocks inside an article are never deleted for being common.
+main, else the body) is the text. Inside an article or main only boxes (BOXES) are counted, and need
+more pages: a heading, paragraph, quotation or list of an article is never deleted for being common.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tallyspark.llm.store import saved, small_batches
 
 #: A subtree is template if it stands on so many pages of the host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.02
+#: The same inside an article or main, where only these elements can be template.
+LEAST_INSIDE, BOXES = 10, frozenset("div section".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
@@ -127,28 +130,27 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return (node.role in _ROLES and node.role != "banner") or bool(node.name and _BOILER.search(node.name))
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hashes of the block subtrees that stand outside articles and main, by id() of their node."""
-    found: dict[int, int] = {}
+def subtree_hashes(root: Node) -> dict[int, tuple[int, bool]]:
+    """Hash of every block subtree that may be template, and whether it stands in an article or main, by id() of its node."""
+    found: dict[int, tuple[int, bool]] = {}
     sums: dict[int, bytes] = {}
     holds: set[int] = set()  # nodes that are or hold an article or main: never template
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while stack:
         node, inside, done = stack.pop()
         if not done:
-            deeper = inside or node.tag in ("article", "main")
             stack.append((node, inside, True))
-            if not deeper:  # what stands inside an article is hashed as part of nothing
-                stack += [(x, deeper, False) for x in node.inner if isinstance(x, Node)]
+            deeper = inside or node.tag in ("article", "main")
+            stack += [(x, deeper, False) for x in node.inner if isinstance(x, Node)]
             continue
         h = hashlib.blake2b(f"{node.tag}|{node.name}|".encode(), digest_size=8)
         if node.tag in ("article", "main") or any(id(x) in holds for x in node.inner):
             holds.add(id(node))
         for x in node.inner:
-            h.update(sums.get(id(x), b"") if isinstance(x, Node) else " ".join(x.split()).encode("utf-8", "replace"))
+            h.update(sums[id(x)] if isinstance(x, Node) else " ".join(x.split()).encode("utf-8", "replace"))
         sums[id(node)] = h.digest()
-        if node.tag in BLOCK and node.tag not in _KEEP and id(node) not in holds:
-            found[id(node)] = int.from_bytes(h.digest(), "little", signed=True)
+        if node.tag in (BOXES if inside else BLOCK - _KEEP) and id(node) not in holds:
+            found[id(node)] = int.from_bytes(h.digest(), "little", signed=True), inside
     return found
 
 
@@ -207,7 +209,7 @@ def _all(root: Node, tag: str, dropped: set[int]) -> list[Node]:
     return out
 
 
-def main_text(root: Node, hashes: dict[int, int], template: set[int]) -> str:
+def main_text(root: Node, hashes: dict[int, tuple[int, bool]], template: set[tuple[int, bool]]) -> str:
     """The text of a parsed page, given its subtree hashes and the host's template."""
     dropped = {i for i, h in hashes.items() if h in template}
     for tag in ("article", "main"):
@@ -223,13 +225,20 @@ def _host() -> F.Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, part, inside, page) of every page, page being a hash of its text; part 0 counts the page itself."""
     for batch in batches:
-        hosts, found = [], []
+        hosts, parts, insides, texts = [], [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = {0, *subtree_hashes(parse(html or "")).values()}  # 0 counts the page itself
+            root = parse(html or "")
+            hashes = subtree_hashes(root)
+            text = main_text(root, hashes, set()).encode("utf-8", "replace")
+            own = {(0, False), *hashes.values()}
             hosts += [host] * len(own)
-            found += own
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "part"])
+            parts += [h for h, _ in own]
+            insides += [x for _, x in own]
+            texts += [int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)] * len(own)
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(parts, pa.int64()), pa.array(insides, pa.bool_()), pa.array(texts, pa.int64())],
+                              names=["host", "part", "inside", "page"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +246,22 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
             root = parse(html or "")
-            texts.append(main_text(root, subtree_hashes(root) if template else {}, set(template or ())))
+            texts.append(main_text(root, subtree_hashes(root) if template else {}, {(t["part"], t["inside"]) for t in template or ()}))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """Template subtrees of each host: host, template (array of hashes, at most some hundred a page's worth)."""
-    counts = pages.select(_host().alias("host"), "html").mapInArrow(_count, "host string, part long").groupBy("host", "part").count()
-    counts = counts.where(F.col("count") >= LEAST_PAGES)
-    totals = counts.where("part = 0").select("host", F.col("count").alias("pages"))
+    """Template subtrees of each host: host, template (array of hashes and places, at most some hundred a page's worth).
+
+    Pages of equal text count as one, so a page that is given or copied many times is no template of itself.
+    """
+    rows = pages.select(_host().alias("host"), "html").mapInArrow(_count, "host string, part long, inside boolean, page long")
+    counts = rows.distinct().groupBy("host", "part", "inside").count()
+    counts = counts.where(F.col("count") >= F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_PAGES))
+    totals = counts.where("part = 0 AND NOT inside").select("host", F.col("count").alias("pages"))
     return (
         counts.where("part <> 0").join(totals, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages"))
-        .groupBy("host").agg(F.collect_list("part").alias("template"))
+        .groupBy("host").agg(F.collect_list(F.struct("part", "inside")).alias("template"))
     )
 
 
@@ -257,7 +270,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     pages: page_id, url, html and others, which are left out. A null or empty html, and a page
     without article text, has an empty text; a page without host shares templates with others
-    without host; repeated rows and null ids stay; an empty table gives an empty table.
+    without host; repeated rows and null ids stay and count as one page; an empty table gives an empty table.
     """
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
