@@ -257,7 +257,8 @@ def site_templates(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(_host().alias("host"), "html").mapInArrow(_count, "host string, part long, inside boolean, page long")
     counts = rows.distinct().groupBy("host", "part", "inside").count()
-    counts = counts.where(F.col("count") >= F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_PAGES))
+    # kept, for both its uses: pages are parsed once
+    counts = saved(counts.where(F.col("count") >= F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_PAGES)))
     totals = counts.where("part = 0 AND NOT inside").select("host", F.col("count").alias("pages"))
     return (
         counts.where("part <> 0").join(totals, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages"))
