@@ -3,8 +3,10 @@
 Words become a template: numbers, names (capitalised words) and units turn into typed placeholders,
 neighbouring numbers or names into one. Windows of WINDOW template tokens are hashed, and a document's
 windows are looked up among those of the benchmark, so a question with other numbers or names is found
-as well as a verbatim one. Along the diagonal with most hits the slots are then compared: one item
-value must always stand for one document value and the other way round, else the match is chance.
+as well as a verbatim one. Where windows of an item gather, item and text are aligned token by token over
+neighbouring diagonals, so words may be put in, left out or replaced between runs of equal tokens. Along
+that chain the slots are compared: one item value must always stand for one document value and the
+other way round, else the match is chance.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from tallyspark.llm import words
 from tallyspark.llm.store import small_batches
 
 #: Template tokens of a window; an item with fewer is one window.
-WINDOW = 8
+WINDOW = 5
+#: Tokens of an item that must stand in a text at least (all of a shorter item); tokens of a run that counts.
+LEAST_TOKENS, RUN = 8, 3
+#: Words put in or left out that an alignment can bridge, to either side of where it starts.
+DRIFT = 8
 #: Plain words a benchmark window needs, if its item has such a window at all.
 PLAIN = 3
 #: Benchmark windows that are looked up in one pass; a larger benchmark takes several passes.
@@ -89,31 +95,32 @@ class Items:
     sizes: list[int]
     window: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     ids: list
+    tokens: list[np.ndarray]
     kinds: list[np.ndarray]
     values: list[np.ndarray]
-    totals: list[int]
+    windows: list[np.ndarray]
 
 
 def index(ids: list, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Items:
     """Index items given by (tokens, kinds, values)."""
     found: dict[int, list] = {}
-    totals = []
+    windows = []
     for i, (tokens, kinds, _) in enumerate(rows):
         size = min(WINDOW, len(tokens))
-        totals.append(0)
+        windows.append(np.zeros(0, np.int64))
         if not size:
             continue
         grams = words.shingles(tokens, size)
         plain = np.convolve(kinds == 0, np.ones(size, int), "valid")
         use = np.flatnonzero(plain >= PLAIN) if (plain >= PLAIN).any() else np.arange(len(grams))
-        totals[i] = len(use)
+        windows[i] = use
         found.setdefault(size, []).append((grams[use], np.full(len(use), i), use))
     window = {}
     for size, parts in found.items():
         h, item, place = (np.concatenate(c) for c in zip(*parts))
         order = np.argsort(h, kind="stable")
         window[size] = h[order], item[order], place[order]
-    return Items(sorted(window), window, ids, [r[1] for r in rows], [r[2] for r in rows], totals)
+    return Items(sorted(window), window, ids, *([r[k] for r in rows] for k in range(3)), windows)
 
 
 def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
@@ -122,8 +129,67 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
     return pairs == len(np.unique(a)) == len(np.unique(b))
 
 
+def align(item: np.ndarray, text: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of item and text that stand for each other, rising in both, near the diagonal text = item + shift.
+
+    Only runs of RUN neighbours or more count; of all such chains within DRIFT diagonals one with most places is taken.
+    """
+    m, width, run = len(item), 2 * DRIFT + 1, min(RUN, len(item))
+    spots = np.arange(m)[:, None] + shift + np.arange(-DRIFT, DRIFT + 1)
+    inside = (spots >= 0) & (spots < len(text))
+    equal = inside & (text[np.clip(spots, 0, len(text) - 1)] == item[:, None])
+    best = np.zeros((m + 1, width), np.int32)  # most places of chains before row and diagonal
+    ends = np.zeros((m + 1, width), np.int32)  # the same, of chains whose last run ends just there; 0 for none
+    length = np.zeros(width, np.int32)
+    for i in range(1, m + 1):
+        length = np.where(equal[i - 1], length + 1, 0)
+        start = np.where(length >= run, best[i - run] + run, 0) if i >= run else 0
+        ends[i] = np.maximum(start, np.where((length > run) & (ends[i - 1] > 0), ends[i - 1] + 1, 0))
+        above = np.append(best[i - 1, 1:], 0)
+        best[i] = np.maximum.accumulate(np.maximum(np.maximum(ends[i], above), best[i - 1]))
+    rows, diagonals = [], []
+    i, k = m, width - 1
+    while i > 0 and best[i, k] > 0:
+        if ends[i, k] == best[i, k]:
+            while True:  # back along the run to where it began
+                if ends[i - 1, k] > 0 and ends[i, k] == ends[i - 1, k] + 1:
+                    rows.append(i - 1)
+                    diagonals.append(k)
+                    i -= 1
+                    continue
+                rows += range(i - 1, i - 1 - run, -1)
+                diagonals += [k] * run
+                i -= run
+                break
+        elif k and best[i, k - 1] == best[i, k]:
+            k -= 1
+        elif k + 1 < width and best[i - 1, k + 1] == best[i, k]:
+            i, k = i - 1, k + 1
+        else:
+            i -= 1
+    own = np.array(rows[::-1], np.int64)
+    return own, own + shift + np.array(diagonals[::-1], np.int64) - DRIFT
+
+
+def _clusters(places: np.ndarray, shifts: np.ndarray, least: int) -> Iterator[int]:
+    """Diagonals around which at least `least` windows gather, most first; each hit is used once."""
+    while len(shifts):
+        order = np.argsort(shifts, kind="stable")
+        places, shifts = places[order], shifts[order]
+        upto = np.searchsorted(shifts, shifts + DRIFT, "right")
+        i = int(np.argmax(upto - np.arange(len(shifts))))
+        part = slice(i, int(upto[i]))
+        if len(np.unique(places[part])) < least:
+            if part.stop - part.start < least:
+                return
+        else:
+            values, count = np.unique(shifts[part], return_counts=True)
+            yield int(values[np.argmax(count)])
+        places, shifts = np.delete(places, part), np.delete(shifts, part)
+
+
 def matches(items: Items, tokens: np.ndarray, kinds: np.ndarray, values: np.ndarray, share: float) -> list[tuple]:
-    """Items found in one text: (item number, windows, matched, slots, changed slots, first token)."""
+    """Items found in one text: (item number, windows, matched, slots, changed slots, first token, tokens, covered)."""
     hits = []
     for size in items.sizes:
         grams = words.shingles(tokens, size)
@@ -133,27 +199,34 @@ def matches(items: Items, tokens: np.ndarray, kinds: np.ndarray, values: np.ndar
         if len(own):
             count = np.searchsorted(h, grams[own], "right") - low[own]
             spot = np.repeat(low[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            hits.append(np.stack([item[spot], np.repeat(own, count) - place[spot], place[spot], np.full(len(spot), size)]))
+            hits.append(np.stack([item[spot], np.repeat(own, count) - place[spot], place[spot]]))
     if not hits:
         return []
     out = []
     hits = np.concatenate(hits, axis=1)
-    for i in np.unique(hits[0]).tolist():
-        mine = hits[:, hits[0] == i]
-        if len(np.unique(mine[2])) < share * items.totals[i]:
-            continue
-        # the best diagonal whose slots agree
-        shifts, count = np.unique(mine[1], return_counts=True)
-        for shift in shifts[np.argsort(-count, kind="stable")].tolist():
-            part = mine[:, mine[1] == shift]
-            if part.shape[1] < share * items.totals[i]:
-                break
-            covered = np.unique((part[2][:, None] + np.arange(part[3, 0])).ravel())
-            slots = covered[items.kinds[i][covered] > 0]
-            a, b = items.values[i][slots], values[slots + shift]
-            if _consistent(a, b):
-                out.append((i, items.totals[i], part.shape[1], len(slots), int((a != b).sum()), int(covered[0] + shift)))
-                break
+    hits = hits[:, np.argsort(hits[0], kind="stable")]
+    found, first = np.unique(hits[0], return_index=True)
+    for i, mine in zip(found.tolist(), np.split(hits, first[1:], axis=1)):
+        item, use = items.tokens[i], items.windows[i]
+        plain = items.kinds[i] == 0
+        least = max(min(len(item), LEAST_TOKENS), share * len(item))
+        for shift in _clusters(mine[2], mine[1], max(1, len(use) // 10)):
+            at, to = align(item, tokens, shift)
+            if len(at) < least or plain[at].sum() < share * plain.sum():
+                continue
+            slot = items.kinds[i][at] > 0
+            a, b = items.values[i][at[slot]], values[to[slot]]
+            inner = (at[slot] > 0) & (at[slot] < len(item) - 1)  # at its ends a slot may have grown by what stands before or after
+            if not _consistent(a[inner], b[inner]):
+                continue
+            # windows whose tokens all stand on one diagonal
+            size = min(WINDOW, len(item))
+            gap = np.full(len(item), -1 - len(tokens) - len(item))
+            gap[at] = to - at
+            whole = np.lib.stride_tricks.sliding_window_view(gap, size)[use]
+            matched = int(((whole == whole[:, :1]).all(axis=1) & (whole[:, 0] >= -len(item))).sum())
+            out.append((i, len(use), matched, int(slot.sum()), int((a != b).sum()), int(to[0]), len(item), len(at)))
+            break
     return out
 
 
@@ -194,14 +267,15 @@ def _passes(benchmark: DataFrame) -> Iterator[Items]:
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """Benchmark items that stand in documents: one row per document row and item.
 
-    Gives doc_id, item_id, windows, matched, slots, changed (slots that hold another value) and
-    start (template token). At least `share` of an item's windows must match on one diagonal with consistent
-    slots. docs: doc_id, text; benchmark: item_id, text; other columns are left out. Null or empty
+    Gives doc_id, item_id, windows, matched, slots, changed (slots that hold another value), start (template
+    token), tokens and covered. At least `share` of an item's template tokens, and of its plain ones, must stand
+    in the text in runs of RUN tokens or more, LEAST_TOKENS at least or all of a shorter item, in order, with
+    consistent slots; up to DRIFT words may be put in or left out on the way, any number replaced. docs: doc_id, text; benchmark: item_id, text; other columns are left out. Null or empty
     texts match nothing; repeated rows give repeated matches; null ids stay null; empty tables give
     an empty table. Benchmarks of any size are taken in passes of bounded size over the documents.
     """
     small_batches(docs.sparkSession)
-    schema = "doc_id long, item_id long, windows int, matched int, slots int, changed int, start int"
+    schema = "doc_id long, item_id long, windows int, matched int, slots int, changed int, start int, tokens int, covered int"
     out = docs.sparkSession.createDataFrame([], schema)
 
     def scan(items: Items):
@@ -209,10 +283,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.5)
             for batch in batches:
                 rows = [(doc, items.ids[m[0]], *m[1:]) for doc, found in zip(
                     batch.column("doc_id").to_pylist(), _scan(items, batch.column("text"), share)) for m in found]
-                columns = list(zip(*rows)) or [()] * 7
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+                columns = list(zip(*rows)) or [()] * 9
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 7]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                      names=["doc_id", "item_id", "windows", "matched", "slots", "changed", "start"])
+                                      names=["doc_id", "item_id", "windows", "matched", "slots", "changed", "start", "tokens", "covered"])
 
         return run
 

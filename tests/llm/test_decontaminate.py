@@ -59,3 +59,52 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert dc.decontaminate(docs, bench).count() == 0
     assert dc.benchmark_matches(docs, bench.limit(0)).count() == 0 and dc.decontaminate(docs, bench.limit(0)).count() == 3
     assert dc.benchmark_matches(docs.limit(0), bench).count() == 0
+
+
+def edited(rng, item, put, replaced):
+    words = item.split()
+    for _ in range(replaced):
+        words[rng.randrange(len(words))] = "changed"
+    for _ in range(put):
+        words.insert(rng.randint(1, len(words) - 1), "added")
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("put", "replaced", "share"), [(1, 0, 0.98), (2, 0, 0.95), (0, 1, 0.98), (0, 2, 0.95), (1, 1, 0.95)])
+def test_edited_items_of_the_given_benchmark(spark, filler, put, replaced, share):
+    rng = random.Random(put * 10 + replaced)
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    texts = [filler(60) + " " + edited(rng, t, put, replaced) + " " + filler(40) for t in items]
+    got = found(spark, texts, items)
+    assert sum((i, i) in got for i in range(len(items))) >= share * len(items)
+    assert all(texts[d] and items[i] == items[d] for d, i in got)
+
+
+def test_chains_equal_a_plain_search():
+    import functools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        item = rng.integers(0, 4, rng.integers(1, 14)).astype(np.uint64)
+        text = np.concatenate([rng.integers(0, 4, 3), item[:5], rng.integers(0, 9, rng.integers(0, 3)), item[5:], [1, 2]]).astype(np.uint64)
+        run, shift = min(dc.RUN, len(item)), int(rng.integers(-3, 6))
+
+        @functools.cache
+        def most(i, j):
+            """Most places of chains of runs from item place i and text place j on."""
+            if i >= len(item) or j >= len(text):
+                return 0
+            out = max(most(i + 1, j), most(i, j + 1))
+            n = 0
+            while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and abs(j - i - shift) <= dc.DRIFT:
+                n += 1
+                if n >= run:
+                    out = max(out, n + most(i + n, j + n))
+            return out
+
+        at, to = dc.align(item, text, shift)
+        assert len(at) == most(0, 0)
+        assert (np.diff(at) > 0).all() and (np.diff(to) > 0).all() and (item[at] == text[to]).all()
+        assert (np.abs(to - at - shift) <= dc.DRIFT).all()
