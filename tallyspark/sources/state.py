@@ -38,10 +38,10 @@ def state_rows(state: DataFrame) -> DataFrame:
 
 
 def write_state(nested: DataFrame, path: str) -> None:
-    """Write nested imports with marked money."""
+    """Write nested imports with marked money; field names repeat on every line, so files are compressed."""
     marked = nested.withColumn("version", F.lit(STATE_VERSION)).withColumn(
         "transactions",
         F.transform("transactions", lambda t: t.withField(
             "amount_minor", F.concat(F.lit(BIGINT_MARK), t["amount_minor"]))),
     )
-    marked.write.mode("overwrite").json(path)
+    marked.write.mode("overwrite").option("compression", "gzip").json(path)
