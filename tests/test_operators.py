@@ -227,3 +227,18 @@ def test_backup_refuses_a_fault_in_any_section(spark, tmp_path):
         with pytest.raises(ValueError, match=f"1 rows of {name} break"):
             backup.read_backup(spark, path, backup.contracts())
         tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def test_recurring_reads_the_rows_once(spark, ledger):
+    rows = ledger([("s", i, f"2024-{1 + i // 2:02d}-{5 + i % 2:02d}", f"GYM {i} CLUB" if i % 2 else f"CAFE {'ABCDEFGHIJ'[i // 2]}", -1000 - i % 3, "purchase")
+                   for i in range(20)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    (found,) = cadence.recurring(rows.mapInArrow(counted, rows.schema)).collect()
+    assert (found.stream_key, found.occurrences, found.cadence, found.display_name) == ("GYM CLUB", 10, "monthly", "GYM 19 CLUB")
+    assert seen.value == 20
