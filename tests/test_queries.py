@@ -53,3 +53,12 @@ def test_query_equals_sql(spark, duck, name):
     names = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(names)
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(result.fetchall(), names)
+
+
+def test_bayes_deals_rows_out_by_ledger_alone(spark, duck):
+    found = entry.QUERIES["cat_nb_predict"](spark, str(DATA))
+    assert found.count() > 0
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in final.splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("token#" in line or "category_id#" in line for line in dealt)
