@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 CARD_NUMBER = r"(?<![0-9A-Za-z_-])(\d{4})[ -]?(\d{4})[ -]?(\d{4})[ -]?(\d{4})(?![0-9A-Za-z_-])"
 ACCOUNT_NUMBER = r"(?i)(?<![0-9A-Za-z_])((?:Account|Acct\.?|A/C)\s*(?:Number|No\.?|#)?\s*[#:]?\s*)(\d{9,12})(?![0-9A-Za-z_])"
 SSN = r"(?<![0-9A-Za-z_])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z_])"
-EMAIL = r"(?<![A-Za-z0-9_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])"
+# begins at a word edge: marks in front of the first word are no part of an address
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+EMAIL = _EDGE + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])"
 PHONE = r"(?<![\d.-])(?:\+?1[\s.-]?)?\(?([2-9]\d{2})\)?[\s.-]?(\d{3})[\s.-]?(\d{4})(?![\d-])"
 
 
