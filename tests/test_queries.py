@@ -62,3 +62,8 @@ def test_bayes_deals_rows_out_by_ledger_alone(spark, duck):
     final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [line for line in final.splitlines() if "hashpartitioning" in line]
     assert dealt and not any("token#" in line or "category_id#" in line for line in dealt)
+
+
+def test_mined_patterns_are_worked_out_once(spark, duck):
+    plan = entry.QUERIES["cat_rule_dedup"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|drinking|") == 1  # a word of the first pattern
