@@ -67,3 +67,26 @@ def test_bayes_deals_rows_out_by_ledger_alone(spark, duck):
 def test_mined_patterns_are_worked_out_once(spark, duck):
     plan = entry.QUERIES["cat_rule_dedup"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("|drinking|") == 1  # a word of the first pattern
+
+
+@pytest.mark.parametrize("name", ["agg_income_rows", "win_cap_income"])
+def test_intents_are_worked_out_once_and_without_refund_links(spark, duck, name):
+    plan = entry.QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("KITSAP") == 1  # a word of the flow patterns
+    assert plan.count("Web ID") <= 2  # a word of the cleaning, which the income rows show as well
+    assert "refund_source_hash" not in plan.split("Relation")[0] and plan.count("LeftOuter") == 1
+
+
+@pytest.mark.parametrize("name", ["agg_income_rows", "win_cap_income", "agg_stacked_grid"])
+def test_flow_query_equals_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+
+
+def test_rows_of_windows_are_worked_out_once(spark, duck):
+    plan = entry.QUERIES["jn_window_range"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("KITSAP") == 0  # days and rows come from the stored keys
+
+
+def test_grid_reads_the_parts_once(spark, duck):
+    plan = entry.QUERIES["agg_stacked_grid"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("KITSAP") <= 1 and plan.count("LogicalRDD") == 2  # both uses read the stored cells
