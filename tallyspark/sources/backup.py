@@ -55,7 +55,7 @@ def contracts() -> dict[str, Column]:
 def _write_all(tables: dict[str, DataFrame], path: str) -> None:
     """All tables at the same time; their jobs share the cluster."""
     with ThreadPoolExecutor(len(tables)) as pool:
-        list(pool.map(lambda item: item[1].write.mode("overwrite").parquet(f"{path}/{item[0]}"), tables.items()))
+        list(pool.map(lambda item: item[1].write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{item[0]}"), tables.items()))
 
 
 def _counted(spark: SparkSession, path: str, names: Iterable[str], contracts: dict[str, Column]) -> DataFrame:
