@@ -18,6 +18,8 @@ def assign_lines(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
     the tolerance always starts one, so only the distinct heights between two such steps are
     folded in order; the fold runs inside Spark on (height, count) pairs.
     """
+    # pages are dealt out once; Spark would deal them out anew for a join by page and height without this
+    items.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     heights = items.groupBy(*PAGE, "y").agg(F.count("*").alias("n"))
     down = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
     step = F.coalesce(F.lag("y").over(down) - F.col("y") > tolerance, F.lit(False))
@@ -27,7 +29,7 @@ def assign_lines(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
     )
     start = F.struct(
         F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("count"), F.lit(0).alias("line"),
-        F.array().cast("array<struct<y:double,line:int>>").alias("out"),
+        F.array().cast("array<struct<y:double,n:bigint,line:int>>").alias("out"),
     )
 
     def add(state, item):
@@ -39,19 +41,17 @@ def assign_lines(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
             F.when(joins, state["total"] + y * item["n"]).otherwise(y * item["n"]).alias("total"),
             F.when(joins, state["count"] + item["n"]).otherwise(item["n"]).alias("count"),
             line.alias("line"),
-            F.concat(state["out"], F.array(F.struct(y.alias("y"), line.alias("line")))).alias("out"),
+            F.concat(state["out"], F.array(F.struct(y.alias("y"), item["n"].alias("n"), line.alias("line")))).alias("out"),
         )
 
     lines = folded.select(*PAGE, "band", F.inline(F.aggregate("ys", start, add)["out"]))
     # bands run downwards and lines run downwards within a band
-    ranks = (
-        lines.join(heights, [*PAGE, "y"])
-        .groupBy(*PAGE, "band", "line")
-        .agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("line_y"))
-        .withColumn("line_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "line")) - 1)
+    line = Window.partitionBy(*PAGE, "band", "line")
+    placed = lines.select(
+        *PAGE, "y", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("band", "line")) - 1).alias("line_no"),
+        (F.sum(F.col("y") * F.col("n")).over(line) / F.sum("n").over(line)).alias("line_y"),
     )
-    placed = lines.join(ranks, [*PAGE, "band", "line"]).select(*PAGE, "y", "line_no", "line_y")
-    return items.join(placed, [*PAGE, "y"])
+    return items.repartition(*PAGE).join(placed, [*PAGE, "y"])
 
 
 def _joined(items):
